@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm import chat, exact, mixing, near, packing, quality, sharding
+from tallywright.llm import brown, chat, exact, langid, mixing, near, packing, quality, sharding, toxicity
+from tallywright.llm.common import part_of
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,19 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_documents(_table(spark, sf_dir, "documents"), part_of(F.col("doc_id"), 10) == 0)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"), part_of(F.col("doc_id"), 5) == 0)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = toxicity.rate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), part_of(F.col("doc_id"), 5) == 0)
+    return rated.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_groups(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
@@ -61,6 +75,9 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
+    "op5_brown_lm": op5_brown_lm,
+    "op6_language_id": op6_language_id,
+    "op7_toxicity": op7_toxicity,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
