@@ -123,6 +123,6 @@ def plan_mix(docs: DataFrame, *, keep: list[str] | None = None, source_col: str
 
 def mix(docs: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text, lang, source), each as many times as the mix takes it."""
-    plan = plan_mix(docs, keep=[]).filter("copies > 0").select("row", "copies")
-    numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    return numbered.join(plan, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    plan = plan_mix(docs, keep=[]).filter("copies > 0").select(F.col("row").alias("_mix_row"), F.col("copies").alias("_mix_copies"))
+    numbered = docs.withColumn("_mix_row", F.monotonically_increasing_id())
+    return numbered.join(plan, "_mix_row").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), "_mix_copies"))).select(*docs.columns)

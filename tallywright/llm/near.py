@@ -82,7 +82,7 @@ class Bands:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        self.top = [1]
+        self.top = [0]
         while self.apart(self.top[-1] + 1) == 0:  # sizes at which a link means equal sets
             self.top[-1] += 1
         while self.top[-1] < 1 << 40:

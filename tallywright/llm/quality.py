@@ -168,6 +168,6 @@ def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
 
 def drop_poor(docs: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text, lang, source) that stay. Rows are matched by number, so repeats are judged alike and each stays or goes."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    gone = judge(numbered, keep=["_row"]).filter("NOT kept").select("_row")
-    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
+    numbered = docs.withColumn("_quality_row", F.monotonically_increasing_id())
+    gone = judge(numbered, keep=["_quality_row"]).filter("NOT kept").select("_quality_row")
+    return numbered.join(gone, "_quality_row", "left_anti").select(*docs.columns)
