@@ -38,7 +38,8 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             f"split-{k}",
         )
         # A row without a match is alone in its group and done, as is one whose text has ended.
-        labelled = keyed.join(split, key, "left").select(
+        # One join strategy at every size: rows then move in proportion to the input.
+        labelled = keyed.join(split.hint("merge"), key, "left").select(
             "row", "id", "sha", F.coalesce("n", F.lit(1)).alias("n"),
             F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("to_id")).alias("top"),
             F.coalesce("to_row", "row").alias("top_row"),
