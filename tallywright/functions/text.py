@@ -8,17 +8,18 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ABSENT = "\x00ABSENT"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def identity_canon(values: pd.Series) -> pd.Series:
     """NFC, trimmed, lower case, white space collapsed; a null is told apart from an empty text."""
     return values.map(lambda v: ABSENT if v is None else " ".join(unicodedata.normalize("NFC", v).strip().lower().split()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def rule_canon(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """NFC, trimmed, white space collapsed, case folded; a null is empty."""
     for v in values:

@@ -1,4 +1,4 @@
 """The ledger's named queries. Importing this package registers them."""
 
-from tallywright.plans import ledger, reads  # noqa: F401
+from tallywright.plans import ingest, ledger, reads  # noqa: F401
 from tallywright.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
