@@ -2,16 +2,19 @@
 
 The account is the unit of parallelism: references, content clusters and occurrence numbers interact
 within one and never across two. Spark prepares what the kernel compares (identity digests, canonical
-party and unit, a digest of the mutable fields), cogroups by account, and joins contents back by
-fetch index, so groups carry narrow rows. The kernel is plain Python over one account's rows.
+party and unit, a digest of the mutable fields), and brings the rows of an account together, in order, so that
+a partition is one stream of accounts. Contents join back by fetch index, so those rows are narrow. The kernel
+is plain Python over one account's rows.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from types import SimpleNamespace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -229,15 +232,34 @@ _COLUMNS = [c.split()[0] for c in ACTIONS.split(", ")]
 
 
 def _kernel(window: int, interval: tuple[int, int] | None):
-    def run(stored: pd.DataFrame, fetched: pd.DataFrame) -> pd.DataFrame:
-        some = fetched if len(fetched) else stored
-        trusted = bool(some["trusted"].iloc[0])
-        account = Account(list(stored.sort_values("row_id").itertuples(index=False)), list(fetched.sort_values("fetch_idx").itertuples(index=False)), trusted, window, {}, interval)
-        return pd.DataFrame(account.run(), columns=_COLUMNS).assign(account_id=some["account_id"].iloc[0])
+    def actions(account_id: int, rows: list) -> list[dict]:
+        sides = [[r for r in rows if r.side == side] for side in (0, 1)]
+        return [{**a, "account_id": account_id} for a in Account(*sides, rows[0].trusted, window, {}, interval).run()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, rows, out = None, [], []
+        for batch in batches:
+            names = batch.schema.names
+            for values in zip(*[batch[n].to_pylist() for n in names]):
+                r = SimpleNamespace(**dict(zip(names, values)))
+                if r.account_id != current:
+                    out += actions(current, rows) if rows else []
+                    current, rows = r.account_id, []
+                rows.append(r)
+            yield _batch(out)
+            out = []
+        yield _batch(actions(current, rows) if rows else [])
 
     return run
 
 
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
+def _batch(actions: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(actions, schema=pa.schema([(n, _KINDS[k]) for n, k in (c.split() for c in ACTIONS.split(", "))]))
+
+
 def reconcile(stored: DataFrame, fetched: DataFrame, capability: DataFrame, *, window: int = WINDOW_DAYS, interval: tuple[int, int] | None = None) -> DataFrame:
     """The actions that bring the ledger up to date, as ACTIONS.
 
@@ -246,7 +268,8 @@ def reconcile(stored: DataFrame, fetched: DataFrame, capability: DataFrame, *, w
     """
     trust = capability.select("account_id", F.coalesce(F.col("ref_stable") & (F.col("ref_scope") == "account"), F.lit(False)).alias("trusted"))
     narrow = ["account_id", "identity_key", "booking_date", "day", "amount_minor", "unit", "party", "rank", "content", "provider_ref"]
-    old = prepared(stored).filter("day IS NOT NULL").select(*narrow, "row_id", "occurrence", "state", "needs_review", "review_reason")
-    new = prepared(fetched).filter("day IS NOT NULL").select(*[F.col(c).alias(c) for c in (*narrow, "fetch_idx")])  # both sides may come from one table
-    known = lambda df: df.join(trust, "account_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    return known(old).groupBy("account_id").cogroup(known(new).groupBy("account_id")).applyInPandas(_kernel(window, interval), ACTIONS)
+    old = prepared(stored).filter("day IS NOT NULL").select(*narrow, "row_id", "occurrence", "state", "needs_review", "review_reason", F.lit(0).alias("side"))
+    new = prepared(fetched).filter("day IS NOT NULL").select(*narrow, F.col("fetch_idx").cast("int").alias("fetch_idx"), F.lit(1).alias("side"))
+    both = old.unionByName(new, allowMissingColumns=True).join(trust, "account_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    # One account's rows follow one another in one partition; the kernel holds one account at a time.
+    return both.repartition("account_id").sortWithinPartitions("account_id", "side", "row_id", "fetch_idx").mapInArrow(_kernel(window, interval), ACTIONS)

@@ -67,7 +67,7 @@ def supersede(L: Ledger):
 @query()
 def tombstones(L: Ledger):
     """Off in production; here over an interval that is proven whole."""
-    return _actions(L, interval=(18_500, 19_500)).filter("op = 'tombstone'").select("account_id", "row_id", "reason")
+    return _actions(L, interval=(9_500, 11_000)).filter("op = 'tombstone'").select("account_id", "row_id", "reason")
 
 
 @query()

@@ -293,10 +293,10 @@ def deep_fetch_complete(L: Ledger):
     return L.accounts.join(L.sync_state, "account_id").filter("completeness = 'complete' AND last_success_session = session_id").select("account_id")
 
 
-@query("transactions", "SELECT account_id, greatest('2023-06-01', min(booking_date)) AS bound FROM transactions GROUP BY 1")
+@query("transactions", "SELECT account_id, greatest('1997-06-01', min(booking_date)) AS bound FROM transactions GROUP BY 1")
 def proven_bound(L: Ledger):
     first = L.transactions.groupBy("account_id").agg(F.min("booking_date").alias("first"))
-    return first.select("account_id", F.when(F.col("first").isNotNull(), F.greatest(F.lit("2023-06-01"), "first")).alias("bound"))
+    return first.select("account_id", F.when(F.col("first").isNotNull(), F.greatest(F.lit("1997-06-01"), "first")).alias("bound"))
 
 
 @query("accounts", "SELECT aspsp, session_id, account_id AS generation FROM (SELECT *, row_number() OVER (PARTITION BY aspsp ORDER BY account_id DESC) AS k FROM accounts WHERE included) WHERE k = 1")
@@ -326,14 +326,14 @@ def page_completeness(L: Ledger):
 
 
 @query("transactions tags notes coverage", """
-    WITH gone AS (SELECT row_id FROM transactions WHERE booking_date < '2022-01-01')
-    SELECT 'transactions' AS name, (SELECT count(*) FROM transactions) AS before, (SELECT count(*) FROM transactions WHERE booking_date >= '2022-01-01') AS after
+    WITH gone AS (SELECT row_id FROM transactions WHERE booking_date < '1998-01-01')
+    SELECT 'transactions' AS name, (SELECT count(*) FROM transactions) AS before, (SELECT count(*) FROM transactions WHERE booking_date >= '1998-01-01') AS after
     UNION ALL SELECT 'tags', (SELECT count(*) FROM tags), (SELECT count(*) FROM tags WHERE row_id NOT IN (FROM gone))
     UNION ALL SELECT 'notes', (SELECT count(*) FROM notes), (SELECT count(*) FROM notes WHERE row_id NOT IN (FROM gone))
-    UNION ALL SELECT 'coverage', (SELECT count(*) FROM coverage), (SELECT count(*) FROM coverage WHERE "end" > DATE '2022-01-01')""")
+    UNION ALL SELECT 'coverage', (SELECT count(*) FROM coverage), (SELECT count(*) FROM coverage WHERE "end" > DATE '1998-01-01')""")
 def purge(L: Ledger):
     tables = {"transactions": L.transactions, "tags": L.tags, "notes": L.notes, "coverage": L.coverage}
-    return erase.counts(tables, erase.purge(tables, "2022-01-01"))
+    return erase.counts(tables, erase.purge(tables, "1998-01-01"))
 
 
 @query("transactions tags notes coverage balances accounts", """

@@ -72,15 +72,15 @@ def money_parse(L: Ledger):
     return rows.withColumn("minor", money.to_minor(F.col("txt"), F.col("currency")))
 
 
-@query("transactions", f"SELECT row_id, account_id, booking_date, amount_minor, currency, direction FROM transactions WHERE {LIVE} AND booking_date >= '2023-01-01' AND booking_date < '2024-01-01' AND amount_minor BETWEEN 1000000 AND 30000000 AND direction = 'DBIT' ORDER BY row_id DESC LIMIT 51")
+@query("transactions", f"SELECT row_id, account_id, booking_date, amount_minor, currency, direction FROM transactions WHERE {LIVE} AND booking_date >= '1999-01-01' AND booking_date < '2000-01-01' AND amount_minor BETWEEN 1000000 AND 30000000 AND direction = 'DBIT' ORDER BY row_id DESC LIMIT 51")
 def list_transactions(L: Ledger):
-    rows = reads.listed(L.transactions).filter("booking_date >= '2023-01-01' AND booking_date < '2024-01-01' AND amount_minor BETWEEN 1000000 AND 30000000 AND direction = 'DBIT'")
+    rows = reads.listed(L.transactions).filter("booking_date >= '1999-01-01' AND booking_date < '2000-01-01' AND amount_minor BETWEEN 1000000 AND 30000000 AND direction = 'DBIT'")
     return reads.page(rows.select("row_id", "account_id", "booking_date", "amount_minor", "currency", "direction"), "row_id", 50)
 
 
-@query("transactions", f"SELECT count(*) AS listed, count(*) FILTER (booking_date >= '2023-01-01') AS in_range, count(*) FILTER (needs_review) AS in_review FROM transactions WHERE {LIVE}")
+@query("transactions", f"SELECT count(*) AS listed, count(*) FILTER (booking_date >= '1999-01-01') AS in_range, count(*) FILTER (needs_review) AS in_review FROM transactions WHERE {LIVE}")
 def listing_disclosure(L: Ledger):
-    return reads.listed(L.transactions).agg(F.count(F.lit(1)).alias("listed"), F.count_if(F.expr("booking_date >= '2023-01-01'")).alias("in_range"), F.count_if(F.expr("needs_review")).alias("in_review"))
+    return reads.listed(L.transactions).agg(F.count(F.lit(1)).alias("listed"), F.count_if(F.expr("booking_date >= '1999-01-01'")).alias("in_range"), F.count_if(F.expr("needs_review")).alias("in_review"))
 
 
 @query("accounts", "SELECT category, count(*) FILTER (included) AS included, count(*) FILTER (NOT included) AS excluded FROM accounts GROUP BY category")
