@@ -35,6 +35,11 @@ def forget(tables: dict[str, DataFrame], account_id: int) -> dict[str, DataFrame
     return out
 
 
+def delete_all(tables: dict[str, DataFrame], meta: DataFrame, kept: tuple[str, ...]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Every table empty, its schema kept; of the key-value table only the structural keys."""
+    return {name: df.limit(0) for name, df in tables.items()}, meta.filter(F.col("key").isin(*kept))
+
+
 def counts(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
     """(name, before, after): rows of each table, counted where they are."""
     out = None

@@ -154,6 +154,12 @@ def notes_phrase(L: Ledger):
     return fts.phrase(L.notes, ["of", "the"])
 
 
+@query()
+def notes_search(L: Ledger):
+    """Boolean query over stemmed words."""
+    return fts.search(L.notes, '"the reth" OR thing* NOT der')
+
+
 @query()
 def scan_identifiers(L: Ledger):
     return scan.scan_numbers(L.table("documents"), "doc_id", "text")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallywright import plans, reach
 from tallywright.functions import money, text
+from tallywright.functions.stem import stem
 from tallywright.operators import erase, fts, identity, intervals, reads, reconcile, refresh, rules, scan, trust
 from tallywright.sources import feed
 from tallywright.sources.store import Store, export
@@ -276,6 +277,21 @@ def test_full_text(spark):
     assert [h.note_id for h in fts.phrase(notes, ["for", "may"]).collect()] == [1]
 
 
+@pytest.mark.parametrize("word,want", [p.split(":") for p in "caresses:caress ponies:poni ties:ti cats:cat agreed:agre plastered:plaster motoring:motor sing:sing hopping:hop falling:fall filing:file happy:happi sky:sky relational:relat conditional:condit rational:ration digitizer:digit vietnamization:vietnam hopefulness:hope electrical:electr goodness:good adjustable:adjust adoption:adopt effective:effect bowdlerize:bowdler probate:probat rate:rate cease:ceas controll:control roll:roll".split()])
+def test_stem(word, want):
+    assert stem(word) == want
+
+
+def test_search(spark):
+    notes = spark.createDataFrame([(1, "Paid the rents monthly"), (2, "renting: paid late"), (3, "Groceries"), (4, None)], "note_id long, note string")
+    found = lambda q: sorted(r.note_id for r in fts.search(notes, q).collect())
+    assert found("rent paid") == [1, 2] and found("rent NOT late") == [1] and found("late OR grocery") == [2, 3]
+    assert found('"paid late"') == [2] and found("groc*") == [3] and found('"late paid"') == []
+    for bad in ("", "OR x", "NOT x", 'a "b', "a OR", "..."):
+        with pytest.raises(ValueError):
+            fts.parse(bad)
+
+
 def test_streams(spark, tmp_path):
     at = lambda d, h: datetime.datetime(2024, 1, d, h)
     rows = [(at(1, 1), 1, "a"), (at(1, 20), 1, "a"), (at(3, 1), 1, "b"), (at(9, 1), 2, "b"), (at(30, 1), 3, "z")]
