@@ -166,14 +166,14 @@ def notes_latest(L: Ledger):
 
 
 @query("transactions tags notes", """
-    SELECT t.row_id, t.booking_date, t.amount_minor, (SELECT string_agg(tag, ' ' ORDER BY tag) FROM tags g WHERE g.row_id = t.row_id) AS tags,
-           (SELECT count(*) FROM notes n WHERE n.row_id = t.row_id) AS notes, (SELECT max(note_id) FROM notes n WHERE n.row_id = t.row_id) AS latest_note
-    FROM transactions t WHERE t.row_id BETWEEN 1 AND 500""")
+    SELECT t.row_id, t.booking_date, t.amount_minor, g.tags, coalesce(n.notes, 0) AS notes, n.latest_note FROM transactions t
+    LEFT JOIN (SELECT row_id, string_agg(tag, ' ' ORDER BY tag) AS tags FROM tags GROUP BY 1) g USING (row_id)
+    LEFT JOIN (SELECT row_id, count(*) AS notes, max(note_id) AS latest_note FROM notes GROUP BY 1) n USING (row_id)""")
 def get_transaction(L: Ledger):
-    rows = L.transactions.filter("row_id BETWEEN 1 AND 500").select("row_id", "booking_date", "amount_minor")
+    """What a lookup shows of a row, for all rows."""
     tags = L.tags.groupBy("row_id").agg(F.array_join(F.array_sort(F.collect_set("tag")), " ").alias("tags"))
     notes = L.notes.groupBy("row_id").agg(F.count(F.lit(1)).alias("notes"), F.max("note_id").alias("latest_note"))
-    return rows.join(tags, "row_id", "left").join(notes, "row_id", "left").withColumn("notes", F.coalesce("notes", F.lit(0)))
+    return L.transactions.select("row_id", "booking_date", "amount_minor").join(tags, "row_id", "left").join(notes, "row_id", "left").withColumn("notes", F.coalesce("notes", F.lit(0)))
 
 
 @query("transactions", "SELECT account_id, booking_date, row_id, amount_minor, currency, direction, status, state FROM transactions")
