@@ -3,10 +3,14 @@
 Two documents link when the Jaccard similarity of their sets of word shingles reaches num/den.
 
 1. Documents of equal sets form a class; its smallest id stands for it from there on.
-2. Size bands: a linked pair differs in at most D = min(|A|,|B|) * (den-num)/num shingles. Within a band of
+2. Candidates, at a similarity of PARTS or more. Size bands: a linked pair differs in at most D = min(|A|,|B|) * (den-num)/num shingles. Within a band of
    sizes, sets are cut by hash range into D + 1 + SPARE parts, so a linked pair has over SPARE equal
    parts (pigeonhole), and shares the key of one that isn't empty. A set with over SPARE empty parts has one key
    more that says so. No pair is lost, and rows grow with the text, not with its square.
+   Below PARTS parts would be too short to tell texts apart that share passages. There, sets are ordered rarest
+   shingle first and share one of their first n - ceil(n * num / den) + 1 (prefix filter, right for any order). How many
+   documents have a shingle is counted for a share of all shingles, chosen by hash, which come first in the order; that
+   share is over what a prefix takes. Shingles of one document can't be shared and give no key.
 3. Classes that share keys form families (components over key and smallest member). A large family is first
    contracted by verifying each member against its keys' smallest members.
 4. A family is one tile. A large one that contraction left apart is cut by size band and hash into blocks; tiles
@@ -33,6 +37,8 @@ from pyspark.sql import functions as F
 
 from tallywright.llm.common import Scratch, components
 
+PARTS = 0.9
+COUNTED = 1.65  # times (den - num) / den: the share of shingles that is counted
 SPARE = 3
 BAND = 1.5
 BITS = 1024
@@ -110,22 +116,43 @@ class Bands:
         return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+class Prefixes:
+    """Where sets are compared by their rarest shingles: what is counted of a set, and what its prefix needs besides."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+        self.limit = np.uint64(min(1024, math.ceil(1024 * COUNTED * (den - num) / den)))
+
+    def prefix(self, n: int) -> int:
+        return n - -(-n * self.num // self.den) + 1
+
+    def split(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        counted = (u >> np.uint64(20)) & np.uint64(1023) < self.limit
+        own = u[counted]
+        return own, u[~counted][: max(0, self.prefix(len(u)) - len(own))] if len(u) else u
+
+
 def _signatures(k: int, num: int, den: int):
+    by_parts = num >= PARTS * den
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
+        bands, prefixes = Bands(num, den), Prefixes(num, den)
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 some = batch.slice(start, 500)
-                sizes, ones, twos, keys, ends = [], [], [], [], [0]
+                sizes, ones, twos, keys, ends, rest, rest_ends = [], [], [], [], [0], [], [0]
                 for text in some["text"]:
                     u = shingle_set(text.as_py() or b"", k)
                     sizes.append(len(u))
                     ones.append(int(u.sum().view(np.int64)) if len(u) else 0)
                     twos.append(int(_mix(u + _ODD[3]).sum().view(np.int64)) if len(u) else 0)
-                    keys.append(bands.keys(u))
-                    ends.append(ends[-1] + len(keys[-1]))
-                flat = pa.array(np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays([some["doc_id"], pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["doc_id", "n", "d1", "d2", "keys"])
+                    own, more = (bands.keys(u), u[:0]) if by_parts else prefixes.split(u)
+                    keys.append(own)
+                    rest.append(more)
+                    ends.append(ends[-1] + len(own))
+                    rest_ends.append(rest_ends[-1] + len(more))
+                lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(np.concatenate(x).view(np.int64))) for e, x in ((ends, keys), (rest_ends, rest))]
+                yield pa.RecordBatch.from_arrays([some["doc_id"], pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), *lists], ["doc_id", "n", "d1", "d2", "keys", "more"])
 
     return run
 
@@ -227,15 +254,18 @@ def near_groups(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100) -
     """
     scratch = Scratch(docs.sparkSession, "near")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    signed = scratch.save(rows.mapInArrow(_signatures(k, num, den), "doc_id long, n long, d1 long, d2 long, keys array<long>"), "signed")
+    signed = scratch.save(rows.mapInArrow(_signatures(k, num, den), "doc_id long, n long, d1 long, d2 long, keys array<long>, more array<long>"), "signed")
     alike = ["n", "d1", "d2"]
     usable = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     classes = scratch.save(signed.filter(usable).groupBy(*alike).agg(F.min("doc_id").alias("cls")), "classes")
-    classed = signed.join(classes, alike, "left").select("doc_id", "n", F.when(usable, F.col("cls")).alias("cls"), F.when(F.col("doc_id") == F.col("cls"), F.col("keys")).alias("keys"))
+    stands = lambda c: F.when(F.col("doc_id") == F.col("cls"), F.col(c)).alias(c)
+    classed = signed.join(classes, alike, "left").select("doc_id", "n", F.when(usable, F.col("cls")).alias("cls"), stands("keys"), stands("more"))
     classed = scratch.save(classed, "classed")
     scratch.drop("signed", "classes")
 
     keyed = classed.filter("keys IS NOT NULL").select("cls", F.explode("keys").alias("key"))
+    if num < PARTS * den:
+        keyed = _rarest(scratch, classed, keyed, num, den)
     shared = scratch.save(keyed.groupBy("key").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).filter("first < last").select("key", "first"), "shared")
     edges = scratch.save(keyed.join(shared, "key").filter("cls <> first").select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct(), "edges")
     scratch.drop("shared")
@@ -259,6 +289,18 @@ def near_groups(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100) -
     return classed.join(labels, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "cls", "doc_id").alias("component_id"))
 
 
+def _rarest(scratch: Scratch, classed: DataFrame, counted: DataFrame, num: int, den: int) -> DataFrame:
+    """(cls, key): the shingles of each prefix that others can have."""
+    repeated = scratch.save(counted.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "repeated")
+    known = counted.join(repeated, "key").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("known"))
+    rows = classed.filter("keys IS NOT NULL").select("cls", "more", F.size("keys").alias("counted"), (F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1).alias("prefix"))
+    rows = rows.join(known, "cls", "left").withColumn("known", F.coalesce("known", F.array().cast("array<struct<df: bigint, key: bigint>>")))
+    # The counted shingles that no one else has come first in the order.
+    needs = F.least(F.col("prefix") - (F.col("counted") - F.size("known")), F.size("known")).cast("int")
+    first = F.when(needs > 0, F.slice("known", F.lit(1), needs)["key"]).otherwise(F.array().cast("array<bigint>"))
+    return scratch.save(rows.select("cls", F.explode(F.concat(first, "more")).alias("key")), "rarest")
+
+
 def _contract(scratch: Scratch, edges: DataFrame, members: DataFrame, sums: DataFrame, arrays: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Links that contract the large families, and the tiles of what they leave apart."""
     large = scratch.save(members.join(sums.filter("large").select("family"), "family"), "large")
