@@ -36,7 +36,7 @@ class ChunkCodec:
     one, for the tokenizer to handle.
     """
 
-    def __init__(self, path: str, limit: int = 300_000, core: int = 150_000):
+    def __init__(self, path: str, limit: int = 600_000, core: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -118,11 +118,16 @@ def _segments(text: str, chars: int = 500_000) -> list[str]:
 _codecs: dict[str, ChunkCodec] = {}
 
 
+def codec_for(path: str) -> ChunkCodec:
+    """One codec per Python worker. Called through the module, so that tasks share it and its cache."""
+    if path not in _codecs:
+        _codecs[path] = ChunkCodec(path)
+    return _codecs[path]
+
+
 def _pieces(path: str, length: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _codecs:
-            _codecs[path] = ChunkCodec(path)
-        codec, end = _codecs[path], np.array([end_id], dtype="<u4").tobytes()
+        codec, end = codec_for(path), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 some = batch.slice(at, 200)
