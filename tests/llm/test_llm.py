@@ -309,6 +309,42 @@ def test_exchange_finds_classes():
     assert len(set(cls[:10])) == 1 and len(set(cls[10:20])) == 1 and cls[0] != cls[10]
 
 
+def test_rare_words_have_learnt_classes(spark):
+    """Words that end alike and differ in their neighbours: their classes come from the neighbours, in the core, in the head and beyond it."""
+    r = random.Random(4)
+    pick = lambda side: f"{side}{int(60 * r.random() ** 2)}zz"
+    rows = [(i, " ".join(f"{s} {pick(s[0])}" for s in r.choices(("after", "before"), k=40)), False) for i in range(200)]
+    rare = [f"{{}}{k}zz" for k in range(30, 60)]
+    rows += [(1000 + j, " ".join(f"{left} {w.format(side)}" for w in rare), True) for j, (left, side) in enumerate((("after", "a"), ("after", "b"), ("before", "b"), ("before", "a")))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    for head in (200_000, 30):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(brown, "HEAD", head)
+            m.setattr(brown, "CORE", 20)
+            found = {x.doc_id: x.score - x.base_score for x in brown.score_documents(frame, F.col("held")).filter("held_out").collect()}
+        assert min(found[1000], found[1002]) > max(found[1001], found[1003]) + 20, found
+
+
+def test_placing_takes_the_greatest_gain():
+    """place() against the likelihood counted anew with the word in each class."""
+    r = np.random.default_rng(1)
+    pairs = r.integers(0, 40, (brown.NEAR, brown.NEAR)).astype(float)
+    near, n = np.array([3, 7, brown.NEAR - 1, brown.NEAR + 3, brown.NEAR + 9]), np.array([5, 2, 1, 4, 4])
+
+    def likelihood(k):
+        after, size = pairs.copy(), pairs.sum(0)
+        for f, x in zip(near, n):
+            if f < brown.NEAR:
+                after[f, k] += x
+            else:
+                after[k, f - brown.NEAR] += x
+        size[k] += n[near < brown.NEAR].sum()
+        return brown._xlogx(after).sum() - 2 * brown._xlogx(size).sum()
+
+    cls, count = brown.place(np.zeros(5, int), near, n, 1, pairs)
+    assert cls[0] == max(range(brown.CLASSES), key=likelihood) and count[0] == 8
+
+
 def test_model_is_a_distribution():
     head = [b"a", b"b", b"cc", b"dd"]
     total, classes = 2 + brown.SIGNATURES + 1, np.array([0, 1, *range(2, 2 + brown.SIGNATURES + 1)])
