@@ -3,7 +3,7 @@
 Documents become token ids, then pieces of at most a sequence's length. Pieces are dealt by hash into
 groups of a few thousand, and each group is packed in one task: best fit decreasing first, then
 local search that moves or exchanges documents between underfull bins, each step raising the sum of
-squared fill, until bins empty or the group holds as few bins as its tokens allow. A group costs at most
+squared fill, until no step gains or the group holds as few bins as its tokens allow. A group costs at most
 a part of one bin over what a single packing of all rows could reach.
 """
 
@@ -173,53 +173,98 @@ def best_fit(sizes: list[int], room: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(sizes: list[int], full: list[int], low: list[int], room: int) -> tuple[list[int], list[int], int] | None:
-    """What to take from `full` and from `low` so that `full` gains most within its room; None if nothing gains."""
-    gives = [([], 0), *(([i], sizes[i]) for i in full), *(([i, j], sizes[i] + sizes[j]) for i, j in itertools.combinations(full, 2))]
-    takes = [*(([i], sizes[i]) for i in low), *(([i, j], sizes[i] + sizes[j]) for i, j in itertools.combinations(low, 2))]
-    takes.sort(key=lambda t: t[1])
-    keys = [t[1] for t in takes]
-    best, gain = None, 0
-    for give, g in gives:
-        at = bisect_left(keys, g + room + 1) - 1
-        if at >= 0 and keys[at] - g > gain and len(give) + len(takes[at][0]) < 4:
-            gain, best = keys[at] - g, (give, takes[at][0])
-            if gain == room:
-                break
-    return (*best, gain) if best else None
+class _Options:
+    """What a bin can give or take: one piece or two, by distinct size; a bin of `room` has few distinct sizes, however many pieces."""
 
+    def __init__(self, own: list[int]):
+        self.one, n = np.unique(np.array(own, np.int64), return_counts=True)
+        i, j = np.triu_indices(len(self.one))
+        there = (i < j) | (n[i] > 1)
+        self.two, at = np.unique((self.one[i] + self.one[j])[there], return_index=True)
+        self.half = self.one[i][there][at]  # the smaller piece of a pair
+        self.few = np.append(0, self.one)  # what goes against one piece or two; a pair only goes against one
+        sums = np.concatenate((self.one, self.two))
+        order = np.argsort(sums, kind="stable")
+        self.sums, self.halves = sums[order], np.concatenate((np.zeros(len(self.one), np.int64), self.half))[order]
 
-def improve(sizes: list[int], bins: list[list[int]], room: int, passes: int = 30) -> list[list[int]]:
-    """Local search between underfull bins: the emptiest bin gives, fuller ones gain, until it is empty.
+
+def _most(gives: np.ndarray, takes: np.ndarray, room: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """For each give the take that gains most within the room, and the gain, which may be below zero."""
+    at = np.searchsorted(takes, gives + room, "right") - 1
+    return at, np.where(at < 0, -1, takes[at] - gives)
+
+
+def _exchange(full: _Options, low: _Options, room: int) -> tuple[list[int], list[int], int] | None:
+    """The sizes to take from `full` and from `low` so that `full` gains most within its room; None if nothing gains."""
+    at, gain = _most(full.few, low.sums, room)
+    k = int(gain.argmax())
+    best = (int(gain[k]), [int(full.few[k])], [int(low.halves[at[k]]), int(low.sums[at[k]] - low.halves[at[k]])])
+    if len(full.two):
+        at, gain = _most(full.two, low.one, room)
+        k = int(gain.argmax())
+        if gain[k] > best[0]:
+            best = (int(gain[k]), [int(full.half[k]), int(full.two[k] - full.half[k])], [int(low.one[at[k]])])
+    gain, give, take = best
+    return ([g for g in give if g], [t for t in take if t], gain) if gain > 0 else None
+
+
+def improve(sizes: list[int], bins: list[list[int]], room: int, passes: int | None = None) -> list[list[int]]:
+    """Local search between underfull bins: the emptiest bin gives, fuller ones gain, until no step gains or no bin can go.
 
     A step moves one or two documents, or exchanges one for one, two for one or one for two, and always
-    towards the fuller bin, which raises the sum of squared fill; so the search ends.
+    towards the fuller bin, which raises the sum of squared fill; so the search ends. passes, if given, bounds it.
     """
     least = -(-sum(sizes) // room)
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    stuck: set[int] = set()
-    while len(bins) - fill.count(0) > least:
-        low = min((b for b in range(len(bins)) if fill[b] and b not in stuck), key=fill.__getitem__, default=None)
-        if low is None or passes <= 0:
-            break
-        moved = True
-        while fill[low] and moved and passes > 0:
-            moved, passes = False, passes - 1
-            for b in sorted((b for b in range(len(bins)) if fill[low] <= fill[b] < room and b != low), key=lambda b: -fill[b]):
-                if len(bins[b]) + len(bins[low]) > 80:
-                    continue
-                step = _exchange(sizes, bins[b], bins[low], room - fill[b])
-                if step:
-                    give, take, gain = step
-                    bins[b] = [i for i in bins[b] if i not in give] + take
-                    bins[low] = [i for i in bins[low] if i not in take] + give
-                    fill[b] += gain
-                    fill[low] -= gain
-                    moved = True
-                    if not fill[low]:
-                        break
-        if fill[low]:
-            stuck.add(low)
+    bins = [list(b) for b in bins if b]
+    fill = np.array([sum(sizes[i] for i in b) for b in bins], np.int64)
+    options = [_Options([sizes[i] for i in b]) for b in bins]
+    table: tuple | None = None  # the options of all bins and whose they are, until a step changes them
+
+    def gaining(low: int) -> list[int]:
+        """The bins that can gain from `low`, the fullest first."""
+        nonlocal table
+        if table is None:
+            live = np.flatnonzero((fill > 0) & (fill < room))
+            table = *(np.concatenate([getattr(options[b], kind) for b in live]) for kind in ("few", "two")), *(np.repeat(live, [len(getattr(options[b], kind)) for b in live]) for kind in ("few", "two"))
+        few, two, few_of, two_of = table
+        found = np.concatenate((few_of[_most(few, options[low].sums, room - fill[few_of])[1] > 0], two_of[_most(two, options[low].one, room - fill[two_of])[1] > 0]))
+        found = np.unique(found[(fill[found] >= fill[low]) & (found != low)])
+        return found[np.argsort(-fill[found], kind="stable")].tolist()
+
+    def swap(b: int, out: list[int], into: list[int]) -> None:
+        own = bins[b]
+        for i in out:
+            own.remove(i)
+        own += into
+        options[b] = _Options([sizes[i] for i in own])
+
+    def pick(b: int, wanted: list[int]) -> list[int]:
+        out: list[int] = []
+        for size in wanted:
+            out.append(next(i for i in bins[b] if sizes[i] == size and i not in out))
+        return out
+
+    moved = True
+    while moved:
+        moved = False
+        for low in np.argsort(fill, kind="stable").tolist():
+            while 0 < fill[low] < room and np.count_nonzero(fill) > least and (passes is None or passes > 0):
+                passes = None if passes is None else passes - 1
+                before = fill[low]
+                for b in gaining(low):
+                    step = _exchange(options[b], options[low], int(room - fill[b])) if fill[b] >= fill[low] else None
+                    if step:
+                        give, take = pick(b, step[0]), pick(low, step[1])
+                        swap(b, give, take)
+                        swap(low, take, give)
+                        fill[b] += step[2]
+                        fill[low] -= step[2]
+                        table = None
+                        if not fill[low]:
+                            break
+                if fill[low] == before:
+                    break
+                moved = True
     return [b for b in bins if b]
 
 

@@ -1,6 +1,7 @@
 """Operators of the training-data part against brute force, and on odd input."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -275,6 +276,23 @@ def test_local_search_empties_bins():
     assert packing._segments("ab cd " * 300_000)[0].endswith(" ") and "".join(packing._segments("ab cd " * 300_000)) == "ab cd " * 300_000
 
 
+def test_local_search_goes_on_until_no_step_gains():
+    """With the default settings, where best fit is far from the bound: no move or exchange that gains is left."""
+    r = random.Random(8)
+    sizes, room = [r.randrange(1000, 2001) for _ in range(500)], 4096
+    start = packing.best_fit(sizes, room)
+    done = packing.improve(sizes, [list(b) for b in start], room)
+    assert sorted(i for b in done for i in b) == list(range(500)) and all(sum(sizes[i] for i in b) <= room for b in done)
+    assert len(done) < len(start)
+    some = lambda b, n: [sum(sizes[i] for i in c) for c in itertools.combinations(b, n)]
+    for full, low in itertools.permutations(done, 2):
+        left = room - sum(sizes[i] for i in full)
+        if sum(sizes[i] for i in full) >= sum(sizes[i] for i in low):
+            for give, take in ((0, 1), (0, 2), (1, 1), (1, 2), (2, 1)):
+                assert not any(0 < t - g <= left for g in some(full, give) for t in some(low, take))
+    assert len(packing.improve([1] * 98, [list(range(60)), list(range(60, 98))], 100)) == 1  # bins of many pieces, too
+
+
 def test_language_model(docs, none):
     rows = odd_rows()
     held = part_of(F.col("doc_id"), 10) == 0
