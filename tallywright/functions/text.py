@@ -31,6 +31,21 @@ def canon_ascii(value: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(value, r"[ \t\n\r\f\x0B]+", " ")))
 
 
+def _by_row(value: Column, whole) -> Column:
+    plain = value.rlike(r"^[\t-\r -~]*\z")
+    return F.when(plain, canon_ascii(value)).when(value.isNotNull(), whole(F.when(~plain, value)))
+
+
+def identity_text(value: Column) -> Column:
+    """identity_canon by row: in the JVM where the text is plain ASCII, else by Arrow; a null stays null."""
+    return _by_row(value, identity_canon)
+
+
+def rule_text(value: Column) -> Column:
+    """rule_canon by row: in the JVM where the text is plain ASCII, else by Arrow; a null stays null."""
+    return _by_row(value, rule_canon)
+
+
 def tokens(canon: Column) -> Column:
     """Maximal runs of letters and digits of a canonical text, in order."""
     return F.filter(F.split(canon, r"[^\p{L}\p{N}]+"), lambda x: x != "")

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallywright.functions.text import ABSENT, canon_ascii, identity_canon
+from tallywright.functions.text import ABSENT, canon_ascii, identity_text
 
 WINDOW_DAYS, NEAR_DAYS = 7, 3
 PENDING, BOOKED = ("PDNG", "PNDG", "PENDING", "HOLD"), ("BOOK", "BOOKED")
 
 
-def canon(name: str, unicode_text: bool = False) -> Column:
-    """The canonical form of a column; absent differs from empty. Texts beyond ASCII go through Arrow."""
-    return identity_canon(F.col(name)) if unicode_text else F.coalesce(canon_ascii(F.col(name)), F.lit(ABSENT))
+def canon(name: str, unicode_text: bool = True) -> Column:
+    """The canonical form of a column; absent differs from empty. Texts beyond ASCII go through Arrow, unless the caller knows that there are none."""
+    return F.coalesce((identity_text if unicode_text else canon_ascii)(F.col(name)), F.lit(ABSENT))
 
 
-def identity(unicode_text: bool = False) -> Column:
+def identity(unicode_text: bool = True) -> Column:
     """SHA-256 over account, amount, currency, direction, counterparty, remittance; dates and status are not part of it."""
     material = F.to_json(F.array(F.col("account_id").cast("string"), F.col("amount_minor").cast("string"), *[canon(c, unicode_text) for c in ("currency", "direction", "counterparty", "remittance")]))
     return F.sha2(material, 256)
@@ -26,7 +26,7 @@ def corroborated(stored: str, fetched: str) -> Column:
     """How a shared reference is borne out between rows aliased so: reference, reference_corroborated or rejected."""
     s, f = (lambda c: F.col(f"{stored}.{c}")), (lambda c: F.col(f"{fetched}.{c}"))
     near = F.abs(F.datediff(s("d"), f("d"))) <= NEAR_DAYS
-    party = lambda x: canon_ascii(x("counterparty"))
+    party = lambda x: identity_text(x("counterparty"))
     same_party = F.coalesce((party(s) == party(f)) & (party(s) != ""), F.lit(False))
     return F.when(near & (s("amount_minor") == f("amount_minor")), "reference").when(near & same_party, "reference_corroborated").otherwise("rejected")
 

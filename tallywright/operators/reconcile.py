@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.functions.text import canon_ascii
+from tallywright.functions.text import canon_ascii, identity_text
 from tallywright.operators.identity import BOOKED, NEAR_DAYS, PENDING, WINDOW_DAYS, canon, identity
 
 EXACT = 8  # rows a side up to which a cluster is matched exactly
@@ -26,11 +26,11 @@ MUTABLE = ("booking_date", "amount_minor", "status", "counterparty", "remittance
 ACTIONS = "account_id long, op string, row_id long, fetch_idx int, local_id int, replaced_by int, identity_key string, occurrence int, method string, confidence double, needs_review boolean, reason string"
 
 
-def prepared(rows: DataFrame, unicode_text: bool = False) -> DataFrame:
+def prepared(rows: DataFrame, unicode_text: bool = True) -> DataFrame:
     """rows with the columns that the kernel compares; rows without a sound booking date are left out."""
     status = F.upper(F.trim(F.coalesce("status", F.lit(""))))
     return rows.withColumns({
-        "identity_key": identity(unicode_text), "day": F.datediff(F.to_date("booking_date"), F.lit("1970-01-01").cast("date")), "party": F.coalesce(canon_ascii(F.col("counterparty")), F.lit("")),
+        "identity_key": identity(unicode_text), "day": F.datediff(F.to_date("booking_date"), F.lit("1970-01-01").cast("date")), "party": F.coalesce((identity_text if unicode_text else canon_ascii)(F.col("counterparty")), F.lit("")),
         "unit": F.concat_ws("|", canon("direction", unicode_text), canon("currency", unicode_text)), "rank": F.when(status.isin(*BOOKED), 0).when(status.isin(*PENDING), 2).otherwise(1), "content": F.xxhash64(*MUTABLE),
     })
 

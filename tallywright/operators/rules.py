@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.functions.text import canon_ascii, strict_date, tokens
+from tallywright.functions.text import rule_text, strict_date, tokens
 
 RULEBOOK_CAP, TAGS_PER_RULE, TAGS_PER_ROW = 500, 16, 32
 PREDICATES = ("counterparty_canon", "remittance_token", "direction", "currency", "amount_min_minor", "amount_max_minor", "dom_min", "dom_max", "weekdays")
@@ -50,7 +50,7 @@ def residual() -> Column:
     )
 
 
-def matches(rows: DataFrame, rules: DataFrame, canon=canon_ascii) -> DataFrame:
+def matches(rows: DataFrame, rules: DataFrame, canon=rule_text) -> DataFrame:
     """(row_id, rule_id, tags) for each rule that matches a row. canon is the text form, a column function."""
     rows = rows.withColumn("_party", canon(F.coalesce("counterparty", F.lit("")))).withColumn("_tokens", tokens(canon(F.coalesce("remittance", F.lit(""))))).withColumn("_day", strict_date(F.col("booking_date")))
     named = rules.select(*[F.col(c).alias(f"r_{c}") for c in rules.columns])

@@ -194,6 +194,32 @@ def test_rules(spark):
     assert forged.select(rules.signature()).distinct().count() == 2
 
 
+def test_text_beyond_ascii(spark):
+    """ß, decomposed accents, no-break spaces and separators: in rules, identity, corroboration and reconciliation."""
+    plain = spark.createDataFrame([("Straße  1",), (" cafe\u0301\u00a0X ",), ("A\x1cB",), ("Shop",), ("",), (None,)], "t string")
+    for r in plain.select("t", text.rule_text(F.col("t")).alias("r"), text.identity_text(F.col("t")).alias("i"), text.rule_canon("t").alias("rc"), text.identity_canon("t").alias("ic")).collect():
+        assert (r.r, r.i) == ((r.rc, r.ic) if r.t is not None else (None, None))
+    book = spark.createDataFrame([(1, "strasse", None, "a"), (2, None, "café", "b"), (3, "a b", None, "c")], "rule_id int, counterparty_canon string, remittance_token string, tags string")
+    book = book.selectExpr("*", *[f"CAST(NULL AS {kind}) AS {c}" for c, kind in (("direction", "string"), ("currency", "string"), ("amount_min_minor", "long"), ("amount_max_minor", "long"), ("dom_min", "int"), ("dom_max", "int"), ("weekdays", "string"))])
+    rows = [(1, "Straße", "x"), (2, "STRASSE", "at the CAFE\u0301!"), (3, "A\u00a0B", None), (4, "A\x1fB", "cafe")]
+    frame = spark.createDataFrame(rows, "row_id long, counterparty string, remittance string").selectExpr("*", "'DBIT' AS direction", "'EUR' AS currency", "1L AS amount_minor", "'2024-01-01' AS booking_date")
+    none = spark.createDataFrame([], "row_id long, tag string")
+    assert sorted(tuple(r) for r in rules.apply_rules(frame, none, book).collect()) == [(1, "a"), (2, "a"), (2, "b"), (3, "c"), (4, "c")]
+    assert {(r.row_id, r.rule_id) for r in rules.judged(frame, none, book).collect()} == {(1, 1), (2, 1), (2, 2), (3, 3), (4, 3)}
+
+    columns = "account_id long, booking_date string, amount_minor long, currency string, direction string, status string, counterparty string, remittance string, provider_ref string"
+    one = (1, "2024-01-01", 100, "EUR", "DBIT", "BOOK", "Cafe\u0301 X", "r", "p")
+    other = (*one[:6], "café\u00a0x", *one[7:])
+    both = spark.createDataFrame([one, other], columns)
+    assert both.select(identity.identity()).distinct().count() == 1
+    pair = both.limit(1).selectExpr("*", "to_date(booking_date) AS d").alias("s").crossJoin(spark.createDataFrame([(*other[:2], 200, *other[3:])], columns).selectExpr("*", "to_date(booking_date) AS d").alias("f"))
+    assert pair.select(identity.corroborated("s", "f").alias("how"), identity.money_change("s", "f").alias("money")).first() == ("reference_corroborated", "amount_changed")
+    held = spark.createDataFrame([one], columns).selectExpr("*", "1L AS row_id", "0 AS occurrence", "'active' AS state", "false AS needs_review", "CAST(NULL AS STRING) AS review_reason")
+    fetched = spark.createDataFrame([(*other[:8], None)], columns).selectExpr("*", "1 AS fetch_idx")
+    trust_none = spark.createDataFrame([(1, False, "account")], "account_id long, ref_stable boolean, ref_scope string")
+    assert [r.op for r in reconcile.reconcile(held, fetched, trust_none).collect() if r.op == "insert"] == []
+
+
 def test_reads(spark):
     rows = spark.createDataFrame([(i, "active") for i in range(1, 251)], "row_id long, state string")
     seen, before = [], None
