@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -18,10 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import Scratch
+from tallywright.llm.common import Scratch, bounded_batches, numbered
 
 LENGTH = 4096
 END_ID = 1
@@ -29,11 +31,12 @@ GROUP = 4096  # pieces in a group, about
 
 
 class ChunkCodec:
-    """Token ids of a text as little-endian bytes, by way of a bounded cache of its blank-separated chunks.
+    """Token ids of texts, by way of a bounded pool of their blank-separated chunks.
 
-    The tokenizer drops white space and never joins tokens across it, so a text's ids are those of its
-    chunks in order. Only space and line feed part chunks here; other white space stays within
-    one, for the tokenizer to handle.
+    The tokenizer drops white space and never joins tokens across it, so a text's ids are those of its chunks in order;
+    it lowers A-Z too. Only space and line feed part chunks here; other white space stays within one, for the tokenizer
+    to handle. Arrow parts the texts of a batch and finds its distinct chunks; each new one is encoded once, and the ids of
+    all texts are then gathered from the pool at once.
     """
 
     def __init__(self, path: str, limit: int = 600_000, core: int = 300_000):
@@ -41,78 +44,106 @@ class ChunkCodec:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit, self.core, self.cache = limit, core, {"": b""}
+        self.limit, self.core = limit, core
+        self.at = {"": 0}  # chunk to its place in the pool
+        self.start, self.size, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
         vocabulary = self.tokenizer.get_vocab()
         ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, i in vocabulary.items():
             ends[i] = token.endswith("</w>")
         self.ends = ends
 
-    def ids_of(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def learn(self, chunks: set[str]) -> None:
-        """Words of letters are encoded many at a time: each ends with a token that closes a word."""
-        cache = self.cache
-        missing = chunks.difference(cache)
-        stems = {c[:-1] for c in missing if c[-1] in ".,;:!?" and c[:-1].isalpha()}
-        words = list({c for c in missing if c.isalpha()} | stems.difference(cache))
-        for at in range(0, len(words), 2000):
-            some = words[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+    def ids_of(self, chunk: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, np.uint32)
+
+    def gather(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at these places one after another, and where each place's begin, with the end of the last."""
+        size = self.size[place]
+        after = np.concatenate(([0], np.cumsum(size)))
+        return self.ids[np.repeat(self.start[place] - after[:-1], size) + np.arange(after[-1])], after
+
+    def add(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New chunks with their ids one after another."""
+        n = len(self.at)
+        first = int(self.start[n - 1] + self.size[n - 1])
+        self.start, self.size, self.ids = _room(self.start, n + len(chunks)), _room(self.size, n + len(chunks)), _room(self.ids, first + len(ids))
+        self.ids[first : first + len(ids)] = ids
+        self.size[n : n + len(chunks)] = sizes
+        self.start[n : n + len(chunks)] = first + np.cumsum(sizes) - sizes
+        self.at.update(zip(chunks, range(n, n + len(chunks))))
+
+    def add_each(self, chunks: list[str]) -> None:
+        for a in range(0, len(chunks), 2000):
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(chunks[a : a + 2000], add_special_tokens=False)]
+            self.add(chunks[a : a + 2000], np.concatenate(found), np.array([len(x) for x in found]))
+
+    def learn(self, missing: list[str]) -> None:
+        """Words of letters are encoded many at a time: each ends with a token that closes a word. Marks after one are tokens of their own."""
+        parts = {c: m.groups() for c in missing if (m := _MARKED.match(c))}
+        words = {c for c in missing if c.isalpha()}
+        words.update(w for w, _ in parts.values())
+        words = list(words.difference(self.at))
+        for a in range(0, len(words), 2000):
+            some = words[a : a + 2000]
+            lines = [" ".join(some[b : b + 100]) for b in range(0, len(some), 100)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+            stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(some) and stops[-1] == len(ids):
-                for word, a, b in zip(some, [0, *stops], stops):
-                    cache[word] = ids[a:b].tobytes()
+                self.add(some, ids, np.diff(stops, prepend=0))
             else:
-                for word in some:
-                    cache[word] = self.ids_of(word)
-        for c in missing.difference(cache):
-            if c[-1] in ".,;:!?" and c[:-1] in cache and c[:-1].isalpha():
-                if c[-1] not in cache:
-                    cache[c[-1]] = self.ids_of(c[-1])
-                cache[c] = cache[c[:-1]] + cache[c[-1]]
-            else:
-                cache[c] = self.ids_of(c)
+                self.add_each(some)
+        self.add_each(list({marks for _, marks in parts.values()}.difference(self.at)))
+        if parts:
+            place = np.fromiter((self.at[x] for own in parts.values() for x in own), np.int64, 2 * len(parts))
+            self.add(list(parts), self.gather(place)[0], self.size[place].reshape(-1, 2).sum(1))
+        self.add_each([c for c in missing if c not in self.at])
 
     def trim(self) -> None:
-        if len(self.cache) > self.limit:
-            self.cache = dict(itertools.islice(self.cache.items(), self.core))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for batch in _batches(texts):
-            split = [t.replace("\n", " ").split(" ") for t in batch]
-            self.learn(set().union(*split))
-            get = self.cache.__getitem__
-            out += [b"".join(map(get, s)) for s in split]
-            self.trim()
-        return out
-
-
-def _batches(texts: list[str], chars: int = 500_000) -> Iterator[list[str]]:
-    held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t)
-        if size >= chars:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def _segments(text: str, chars: int = 500_000) -> list[str]:
-    """A long text in parts that end at a space, so that no more than a part is split at a time."""
-    if len(text) <= 2 * chars:
-        return [text]
-    out, at = [], 0
+        if len(self.at) > self.limit:
+            self.at = dict(itertools.islice(self.at.items(), self.core))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts (no null) one after another, and where each text's begin, with the end of the last."""
+        parted = pc.split_pattern(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), " ")
+        coded = parted.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if missing := [c for c in chunks if c not in self.at]:
+            self.learn(missing)
+        place = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))[coded.indices.to_numpy()] if chunks else np.zeros(0, np.int64)
+        ids, after = self.gather(place)
+        ends = parted.value_lengths().to_numpy(zero_copy_only=False)
+        self.trim()
+        return ids, after[np.concatenate(([0], np.cumsum(ends)))]
+
+
+#: Letters and then marks other than the apostrophe, which may go with letters.
+_MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)\Z")
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    return x if n <= len(x) else np.concatenate((x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)))
+
+
+def _spans(sizes: list[int], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about `most` characters in all; a longer text is a run of its own."""
+    start, held = 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > most:
+            yield start, i
+            start, held = i, 0
+        held += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def _segments(text: str, chars: int = 2_000_000) -> Iterator[str]:
+    """A long text in parts that end before a space, so that no more than a part is parted at a time."""
+    at = 0
     while at < len(text):
         end = text.find(" ", at + chars)
-        end = len(text) if end < 0 else end + 1
-        out.append(text[at:end])
+        end = len(text) if end < 0 else end
+        yield text[at:end]
         at = end
-    return out
 
 
 _codecs: dict[str, ChunkCodec] = {}
@@ -127,19 +158,24 @@ def codec_for(path: str) -> ChunkCodec:
 
 def _pieces(path: str, length: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, end = codec_for(path), np.array([end_id], dtype="<u4").tobytes()
+        codec, end = codec_for(path), np.array([end_id], np.uint32)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
-                sizes, sums = [], []
-                texts = [t or "" for t in some["text"].to_pylist()]
-                parts = [_segments(t) for t in texts]
-                coded = iter(codec.encode([p for own in parts for p in own]))
-                for own in parts:
-                    ids = b"".join(next(coded) for _ in own) + end
-                    sizes.append(len(ids) // 4)
-                    sums.append([zlib.crc32(ids[a : a + 4 * length]) for a in range(0, len(ids), 4 * length)])
-                yield pa.RecordBatch.from_arrays([some["doc_id"], pa.array(sizes, pa.int64()), pa.array(sums, pa.list_(pa.int64()))], ["doc_id", "n", "sums"])
+            texts = pc.fill_null(batch["text"], "")
+            sizes, sums = [], []
+
+            def cut(ids: np.ndarray) -> None:
+                ids = np.concatenate((ids, end)).astype("<u4", copy=False)
+                sizes.append(len(ids))
+                sums.append([zlib.crc32(ids[a : a + length]) for a in range(0, len(ids), length)])
+
+            for a, b in _spans(pc.binary_length(texts).to_pylist()):
+                if b - a > 1:
+                    ids, at = codec.encode(texts.slice(a, b - a))
+                    for i in range(b - a):
+                        cut(ids[at[i] : at[i + 1]])
+                else:
+                    cut(np.concatenate([np.zeros(0, np.uint32), *(codec.encode(pa.array([part]))[0] for part in _segments(texts[a].as_py()))]))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(sums, pa.list_(pa.int64()))], ["doc_id", "n", "sums"])
 
     return run
 
@@ -291,9 +327,11 @@ def pack(docs: DataFrame, tokenizer: str, *, length: int = LENGTH, end_id: int =
     id alone. Repeated rows are packed as rows of their own. An empty table gives no rows; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    pieces = scratch.save(token_pieces(docs, tokenizer, length=length, end_id=end_id), "pieces")
+    bounded_batches(docs.sparkSession)
+    pieces = numbered(token_pieces(docs, tokenizer, length=length, end_id=end_id), "row", scratch, "pieces")
     buckets = max(1, -(-pieces.count() // group))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id(), "doc_id", "piece"), F.lit(buckets)).cast("int"))
-    kinds = dict(pieces.dtypes)
+    # Repeated rows go to a bucket each, by their number.
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("row", "doc_id", "piece"), F.lit(buckets)).cast("int")).drop("row")
+    kinds = dict(dealt.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", "piece", "start", "length", "ids_crc32")) + ", sequence_id long, offset long"
     return dealt.groupBy("bucket").applyInPandas(_pack_group(length), schema)
