@@ -27,13 +27,13 @@ RIDGE = 1e-2
 BATCH = 64
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"(?:[\W\d_])+")
 _PRIMES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint32)
 
 
 def has_letter(text: str | None) -> bool:
-    return text is not None and _LETTER.search(text) is not None
+    """Whether a character is of the Unicode categories L*."""
+    return text is not None and any(map(str.isalpha, text))
 
 
 def presence(text: str, out: np.ndarray) -> None:
