@@ -101,13 +101,13 @@ def grow(owner: list[int], weight: list[int], shards: int) -> list[int]:
 
 
 def save_map(spark: SparkSession, path: str, version: int, owner: list[int]) -> None:
-    """Adds a version of the map to the store at path; older versions stay."""
-    rows = spark.createDataFrame([(version, s, o) for s, o in enumerate(owner)], "version int, vslot int, shard int")
-    rows.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    """Puts a version of the map in the store at path; other versions stay. Saved again, a version is replaced."""
+    rows = spark.createDataFrame(list(enumerate(owner)), "vslot int, shard int")
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
 def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
-    return spark.read.schema("vslot int, shard int, version int").parquet(path).filter(F.col("version") == version).select("vslot", "shard")
+    return spark.read.schema("vslot int, shard int").parquet(f"{path}/version={version}")
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, store: str | None = None) -> DataFrame:
