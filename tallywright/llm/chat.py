@@ -79,6 +79,19 @@ def loss_mask(pieces: Column) -> Column:
     return F.array_join(F.transform(pieces, one), "")
 
 
+def masked(formatted: Column, mask: Column) -> Column:
+    """The unescaped texts that stand under the mask in the rendered form, array<string>: one for each run of 1."""
+    runs = F.aggregate(
+        F.regexp_extract_all(mask, F.lit("0+|1+"), F.lit(0)),
+        F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<at: int, n: int>>").alias("found")),
+        lambda a, r: F.struct(
+            (a["at"] + F.char_length(r)).alias("at"),
+            F.when(F.startswith(r, F.lit("1")), F.array_append(a["found"], F.struct(a["at"].alias("at"), F.char_length(r).alias("n")))).otherwise(a["found"]).alias("found"),
+        ),
+    )
+    return F.transform(runs["found"], lambda r: unescape(F.substring(formatted, r["at"], r["n"])))
+
+
 def format_chats(rows: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per conversation: id, formatted, escaped, turns (role, text; read back), loss_mask.
 
