@@ -11,16 +11,19 @@ Two documents link when the Jaccard similarity of their sets of word shingles re
    shingle first and share one of their first n - ceil(n * num / den) + 1 (prefix filter, right for any order). How many
    documents have a shingle is counted for a share of all shingles, chosen by hash, which come first in the order; that
    share is over what a prefix takes. Shingles of one document can't be shared and give no key.
-3. Classes that share keys form families (components over key and smallest member). A large family is first
-   contracted by verifying each member against its keys' smallest members.
-4. A family is one tile. A large one that contraction left apart is cut by size band and hash into blocks; tiles
-   are pairs of blocks of the same or adjoining bands, except those within its largest contracted part.
+3. Classes that share keys form families (components over a class and its keys' smallest members).
+4. A small family is one tile. A large one is first contracted: each class is compared to the members that most of its
+   keys lead to, a few at most, in streams that hold one array at a time. Where all classes that meet at one member
+   are connected by then, nothing more is needed. The others are cut by size band into blocks; tiles are the pairs of
+   blocks of the same or adjoining bands that meet, except those within the family's largest contracted part.
 5. In a tile, bits set in one bitmap and not in the other bound the overlap from above; pairs that pass
    are decided by intersecting the sorted arrays. Pairs already connected are skipped, so a tile emits
    fewer links than it has members.
 6. Components over all links.
 
-Shingles are 64-bit hashes of words' 64-bit hashes.
+Arrays travel in rows of CHUNK shingles, so that no Arrow batch grows with the length of texts.
+Shingles are 64-bit hashes of words' 64-bit hashes, and sets are taken as equal if their size and two 64-bit sums over
+their shingles agree: stated limits, as two such values meet by chance once in 2^64 pairs.
 """
 
 from __future__ import annotations
@@ -32,18 +35,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import Scratch, components
+from tallywright.llm.common import Scratch, bounded_batches, components
 
 PARTS = 0.9
 COUNTED = 1.65  # times (den - num) / den: the share of shingles that is counted
 SPARE = 3
 BAND = 1.5
-BITS = 1024
+BITS = 1024  # of a bitmap, at least
 TILE_ROWS = 100  # members of a block
 TILE_SHINGLES = 1_000_000  # shingles in a small family; half in a block
+LEADS = 4  # members that a class of a large family is compared to before blocks are made
+STREAM_ROWS = 500  # classes compared to one member in one stream
+CHUNK = 1024  # shingles in a row
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
@@ -158,16 +164,43 @@ def _signatures(k: int, num: int, den: int):
 
 
 def _arrays(k: int):
+    """The sets in rows of CHUNK shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 200):
-                some = batch.slice(start, 200)
-                sets = [shingle_set(t.as_py() or b"", k) for t in some["text"]]
-                yield pa.RecordBatch.from_arrays([some["doc_id"], pa.array([len(u) for u in sets], pa.int64()), pa.array([u.tobytes() for u in sets], pa.binary())], ["cls", "n", "shingles"])
+            cls, seq, parts = [], [], []
+            for c, text in zip(batch["cls"].to_pylist(), batch["text"]):
+                u = shingle_set(text.as_py() or b"", k)
+                for at in range(0, len(u), CHUNK):
+                    cls.append(c)
+                    seq.append(at // CHUNK)
+                    parts.append(u[at : at + CHUNK].tobytes())
+                if len(parts) >= 1000:
+                    yield _chunks(cls, seq, parts)
+                    cls, seq, parts = [], [], []
+            yield _chunks(cls, seq, parts)
 
     return run
 
 
+def _chunks(cls: list, seq: list, parts: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(seq, pa.int32()), pa.array(parts, pa.binary())], ["cls", "seq", "shingles"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
+    """(tile, side, cls, label, set) from chunks ordered by tile, side, cls and seq."""
+    at, parts = None, []
+    for batch in batches:
+        for row, shingles in zip(zip(*(batch[c].to_pylist() for c in ("tile", "side", "cls", "label"))), batch["shingles"]):
+            if row != at:
+                if at:
+                    yield *at, np.frombuffer(b"".join(parts), np.uint64)
+                at, parts = row, []
+            parts.append(shingles.as_py())
+    if at:
+        yield *at, np.frombuffer(b"".join(parts), np.uint64)
+
+
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     """Whether two sorted arrays of distinct values reach the similarity."""
     if min(len(a), len(b)) * den < max(len(a), len(b)) * num:
@@ -178,14 +211,17 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * shared >= num * (len(both) - shared)
 
 
-def bitmap(u: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, np.uint8)
-    bits[u & np.uint64(BITS - 1)] = 1
+def bitmap(u: np.ndarray, width: int = BITS) -> np.ndarray:
+    bits = np.zeros(width, np.uint8)
+    bits[u & np.uint64(width - 1)] = 1
     return np.packbits(bits).view(np.uint64)
 
 
-def tile_links(ids: list, labels: list, sets: list[np.ndarray], num: int, den: int) -> list[tuple]:
-    """Links that connect the members of a tile as all their links would. labels: what is connected already."""
+def tile_links(ids: list, labels: list, sets: list[np.ndarray], num: int, den: int, sides: list[int] | None = None) -> list[tuple]:
+    """Links that connect the members of a tile as all their links would. labels: what is connected already.
+
+    With two sides, only pairs across them are compared.
+    """
     parent: dict = {}
 
     def root(x):
@@ -194,14 +230,21 @@ def tile_links(ids: list, labels: list, sets: list[np.ndarray], num: int, den: i
         return x
 
     sizes = np.array([len(u) for u in sets])
-    maps = np.stack([bitmap(u) for u in sets])
+    width = max(BITS, 1 << int(sizes.max()).bit_length())
+    maps = np.stack([bitmap(u, width) for u in sets])
+    side = np.zeros(len(ids), np.int8) if sides is None else np.array(sides, np.int8)
+    across = side.min() < side.max()
     tops, out = [root(x) for x in labels], []
     for i in range(len(ids) - 1):
-        n, rest = sizes[i], sizes[i + 1 :]
-        extra = np.bitwise_count(maps[i] & ~maps[i + 1 :]).sum(1)
-        lack = np.bitwise_count(~maps[i] & maps[i + 1 :]).sum(1)
-        bound = np.minimum(n - extra.astype(np.int64), rest - lack.astype(np.int64))
-        for j in (np.flatnonzero((num + den) * bound >= num * (n + rest)) + i + 1).tolist():
+        n = sizes[i]
+        some = np.arange(i + 1, len(ids))
+        some = some[(sizes[i + 1 :] * num <= n * den) & (sizes[i + 1 :] * den >= n * num) & ((side[i + 1 :] != side[i]) | (not across))]
+        if not len(some):
+            continue
+        extra = np.bitwise_count(maps[i] & ~maps[some]).sum(1)
+        lack = np.bitwise_count(~maps[i] & maps[some]).sum(1)
+        bound = np.minimum(n - extra.astype(np.int64), sizes[some] - lack.astype(np.int64))
+        for j in some[(num + den) * bound >= num * (n + sizes[some])].tolist():
             a, b = root(tops[i]), root(tops[j])
             if a != b and linked(sets[i], sets[j], num, den):
                 parent[max(a, b)] = min(a, b)
@@ -211,22 +254,20 @@ def tile_links(ids: list, labels: list, sets: list[np.ndarray], num: int, den: i
 
 def _tiles(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
+        held: list = []
         tile = None
 
         def done() -> list[tuple]:
-            members = sorted(held.items(), key=lambda m: (len(m[1][1]), m[0]))
-            return tile_links([m for m, _ in members], [x[0] for _, x in members], [x[1] for _, x in members], num, den) if len(members) > 1 else []
-
-        for batch in batches:
-            out = []
-            for t, cls, label, shingles in zip(batch["tile"].to_pylist(), batch["cls"].to_pylist(), batch["label"].to_pylist(), batch["shingles"]):
-                if t != tile:
-                    out += done()
-                    tile = t
-                    held.clear()
-                held[cls] = (label, np.frombuffer(shingles.as_buffer(), np.uint64))
-            yield _links(out)
+            members = sorted(held, key=lambda m: (len(m[3]), m[1]))
+            held.clear()
+            return tile_links([m[1] for m in members], [m[2] for m in members], [m[3] for m in members], num, den, [m[0] for m in members]) if len(members) > 1 else []
+
+        for t, side, cls, label, u in _sets(batches):
+            if t != tile:
+                if found := done():
+                    yield _links(found)
+                tile = t
+            held.append((side, cls, label, u))
         yield _links(done())
 
     return run
@@ -236,11 +277,22 @@ def _links(pairs: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
 
 
-def _verify(num: int, den: int):
+def _streams(num: int, den: int):
+    """Links of the one member of side 0, which comes first, to those of side 1; one array of each is held."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [[np.frombuffer(x.as_buffer(), np.uint64) for x in batch[c]] for c in ("left", "right")]
-            yield _links([(a, b) for a, b, x, y in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), *sets) if linked(x, y, num, den)])
+        tile, lead, found = None, None, []
+        for t, side, cls, _, u in _sets(batches):
+            if t != tile:
+                tile, lead = t, None
+            if side == 0:
+                lead = (cls, u)
+            elif lead and linked(lead[1], u, num, den):
+                found.append((cls, lead[0]))
+            if len(found) >= 10_000:
+                yield _links(found)
+                found = []
+        yield _links(found)
 
     return run
 
@@ -252,80 +304,107 @@ def near_groups(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100) -
     included. A text without words has no shingles and links with nothing. A row without an id takes no
     part in links and has no component. Repeated rows are one class. Other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "near")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     signed = scratch.save(rows.mapInArrow(_signatures(k, num, den), "doc_id long, n long, d1 long, d2 long, keys array<long>, more array<long>"), "signed")
-    alike = ["n", "d1", "d2"]
+    alike, many = ["n", "d1", "d2"], signed.count()
     usable = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    classes = scratch.save(signed.filter(usable).groupBy(*alike).agg(F.min("doc_id").alias("cls")), "classes")
+    classes = scratch.save(signed.filter(usable).groupBy(*alike).agg(F.min("doc_id").alias("cls")), "classes", many)
     stands = lambda c: F.when(F.col("doc_id") == F.col("cls"), F.col(c)).alias(c)
     classed = signed.join(classes, alike, "left").select("doc_id", "n", F.when(usable, F.col("cls")).alias("cls"), stands("keys"), stands("more"))
-    classed = scratch.save(classed, "classed")
-    scratch.drop("signed", "classes")
+    classed = scratch.save(classed, "classed", many)
+    scratch.drop("signed")
 
     keyed = classed.filter("keys IS NOT NULL").select("cls", F.explode("keys").alias("key"))
     if num < PARTS * den:
-        keyed = _rarest(scratch, classed, keyed, num, den)
-    shared = scratch.save(keyed.groupBy("key").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).filter("first < last").select("key", "first"), "shared")
-    edges = scratch.save(keyed.join(shared, "key").filter("cls <> first").select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct(), "edges")
-    scratch.drop("shared")
-    family = scratch.save(components(edges, scratch, "families").select(F.col("node").alias("cls"), F.col("label").alias("family")), "family")
-    texts = rows.filter(F.col("doc_id").isNotNull()).join(family.select(F.col("cls").alias("doc_id")), "doc_id", "left_semi")
-    arrays = scratch.save(texts.mapInArrow(_arrays(k), "cls long, n long, shingles binary"), "arrays")
-
-    members = family.join(arrays.select("cls", "n"), "cls")
+        keyed = _rarest(scratch, classed, keyed, num, den, many)
+    shared = scratch.save(keyed.groupBy("key").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).filter("first < last").select("key", "first"), "shared", many)
+    # One row per class and first member of its keys; each class ties them all to the smallest.
+    met = scratch.save(keyed.join(shared, "key").groupBy("cls", "first").agg(F.count(F.lit(1)).alias("keys")), "met", many)
+    firsts = met.groupBy("cls").agg(F.collect_set("first").alias("f")).withColumn("f", F.array_union("f", F.array("cls")))
+    tied = firsts.withColumn("b", F.array_min("f")).select(F.explode("f").alias("a"), "b").filter("a <> b")
+    family = scratch.save(components(tied, scratch, "families").select(F.col("node").alias("cls"), F.col("label").alias("family")), "family")
+    many = family.count()
+    texts = rows.withColumnRenamed("doc_id", "cls").join(family.select("cls"), "cls", "left_semi")
+    # Of repeated rows, equal in id and set, one is enough.
+    arrays = scratch.save(texts.mapInArrow(_arrays(k), "cls long, seq int, shingles binary").dropDuplicates(["cls", "seq"]), "arrays")
+
+    members = scratch.save(family.join(classes.select("cls", "n"), "cls"), "members", many)
     sums = members.groupBy("family").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
-    sums = scratch.save(sums.withColumn("large", (F.col("rows") > TILE_ROWS) | (F.col("shingles") > TILE_SHINGLES)), "sums")
-    small = family.join(sums.filter("NOT large").select("family"), "family").select("cls", F.col("cls").alias("label"), F.struct("family", F.lit(0).alias("b"), F.lit(0).alias("s"), F.lit(0).alias("b2"), F.lit(0).alias("s2"), F.lit(0).alias("r"), F.lit(0).alias("r2")).alias("tile"))
+    sums = scratch.save(sums.withColumn("large", (F.col("rows") > TILE_ROWS) | (F.col("shingles") > TILE_SHINGLES)), "sums", many)
+    small = family.join(sums.filter("NOT large").select("family"), "family").select("cls", F.col("cls").alias("label"), F.xxhash64("family").alias("tile"), F.lit(0).alias("side"))
     tiles, links = small, None
     if sums.filter("large").limit(1).count():
-        links, large_tiles = _contract(scratch, edges, members, sums, arrays, num, den)
+        links, large_tiles = _contract(scratch, met, members, sums, arrays, num, den, many)
         tiles = small.unionByName(large_tiles)
-    work = tiles.join(arrays.select("cls", "shingles"), "cls").withColumn("tile", F.xxhash64("tile"))
-    work = work.repartition("tile").sortWithinPartitions("tile").select("tile", "cls", "label", "shingles")
-    found = scratch.save(work.mapInArrow(_tiles(num, den), "a long, b long"), "found")
-    scratch.drop("arrays", "edges")
+    found = scratch.save(_arranged(tiles, arrays).mapInArrow(_tiles(num, den), "a long, b long"), "found")
+    scratch.drop("arrays", "shared", "met", "members", "family", "classes")
     labels = components(found if links is None else found.union(links), scratch, "links").withColumnRenamed("node", "cls")
     return classed.join(labels, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "cls", "doc_id").alias("component_id"))
 
 
-def _rarest(scratch: Scratch, classed: DataFrame, counted: DataFrame, num: int, den: int) -> DataFrame:
+def _arranged(tiles: DataFrame, arrays: DataFrame) -> DataFrame:
+    """The chunks of the members of tiles (cls, label, tile, side), each tile in one task and in order."""
+    work = tiles.join(arrays, "cls").select("tile", "side", "cls", "label", "seq", "shingles")
+    return work.repartition("tile").sortWithinPartitions("tile", "side", "cls", "seq").drop("seq")
+
+
+def _rarest(scratch: Scratch, classed: DataFrame, counted: DataFrame, num: int, den: int, many: int) -> DataFrame:
     """(cls, key): the shingles of each prefix that others can have."""
-    repeated = scratch.save(counted.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "repeated")
+    repeated = scratch.save(counted.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "repeated", many)
     known = counted.join(repeated, "key").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("known"))
     rows = classed.filter("keys IS NOT NULL").select("cls", "more", F.size("keys").alias("counted"), (F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1).alias("prefix"))
     rows = rows.join(known, "cls", "left").withColumn("known", F.coalesce("known", F.array().cast("array<struct<df: bigint, key: bigint>>")))
     # The counted shingles that no one else has come first in the order.
     needs = F.least(F.col("prefix") - (F.col("counted") - F.size("known")), F.size("known")).cast("int")
     first = F.when(needs > 0, F.slice("known", F.lit(1), needs)["key"]).otherwise(F.array().cast("array<bigint>"))
-    return scratch.save(rows.select("cls", F.explode(F.concat(first, "more")).alias("key")), "rarest")
-
-
-def _contract(scratch: Scratch, edges: DataFrame, members: DataFrame, sums: DataFrame, arrays: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Links that contract the large families, and the tiles of what they leave apart."""
-    large = scratch.save(members.join(sums.filter("large").select("family"), "family"), "large")
-    pairs = edges.join(large.select(F.col("cls").alias("a"), "family"), "a").select("a", "b")
-    pairs = pairs.join(arrays.select(F.col("cls").alias("a"), F.col("shingles").alias("left")), "a")
-    pairs = pairs.join(arrays.select(F.col("cls").alias("b"), F.col("shingles").alias("right")), "b")
-    links = scratch.save(pairs.select("a", "b", "left", "right").mapInArrow(_verify(num, den), "a long, b long"), "large-links")
-    labels = components(links, scratch, "large")
-    large = scratch.save(large.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")), "large-labels")
-    apart = large.groupBy("family", "label").agg(F.count(F.lit(1)).alias("rows")).groupBy("family").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("rows", "label")).alias("most")).filter("labels > 1").select("family", F.col("most.label").alias("main"))
-    apart = scratch.save(apart, "large-apart")
+    return scratch.save(rows.select("cls", F.explode(F.concat(first, "more")).alias("key")), "rarest", many)
+
+
+def _contract(scratch: Scratch, met: DataFrame, members: DataFrame, sums: DataFrame, arrays: DataFrame, num: int, den: int, many: int) -> tuple[DataFrame, DataFrame]:
+    """Links that contract the large families, and the tiles of what they leave apart.
+
+    Keys count by their smallest member: classes that share a key share the smallest member of it, and rows of class and
+    smallest member are far fewer than keys.
+    """
+    large = scratch.save(members.join(sums.filter("large").select("family"), "family"), "large", many)
+    order = Window.partitionBy("cls").orderBy(F.desc("keys"), "first")  # a class has as many rows as keys, at most
+    leads = met.filter("cls <> first").join(large.select("cls"), "cls").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= LEADS).select("cls", "first")
+    leads = scratch.save(leads, "large-leads", many)
+    streams = leads.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / STREAM_ROWS).cast("int").alias("streams"))
+    streams = scratch.save(streams, "large-streams", many)
+    held = streams.select(F.col("first").alias("cls"), F.explode(F.sequence(F.lit(0), F.col("streams") - 1)).alias("s"), F.col("first")).withColumn("side", F.lit(0))
+    compared = leads.join(streams, "first").select("cls", F.pmod(F.xxhash64("cls"), F.col("streams")).cast("int").alias("s"), "first").withColumn("side", F.lit(1))
+    tiles = held.unionByName(compared).select("cls", F.lit(0).cast("long").alias("label"), F.xxhash64("first", "s").alias("tile"), "side")
+    links = scratch.save(_arranged(tiles, arrays).mapInArrow(_streams(num, den), "a long, b long"), "large-links")
+    labels = components(links, scratch, "large").withColumnRenamed("node", "cls")
+    large = scratch.save(large.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "large-labels", many)
+
+    # Smallest members whose classes aren't all connected, and those classes.
+    lead = scratch.save(met.select("cls", "first").join(large.select("cls", "label"), "cls"), "large-met", many)
+    apart = lead.groupBy("first").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("first")
+    lead = scratch.save(lead.join(apart, "first").select("cls", "first"), "large-open", many)
+    near = lead.groupBy("cls").agg(F.min("first").alias("near"))
+    most = large.groupBy("family", "label").agg(F.count(F.lit(1)).alias("rows")).groupBy("family").agg(F.max(F.struct("rows", "label")).alias("most")).select("family", F.col("most.label").alias("main"))
     band = F.floor(F.log(F.col("n")) / F.lit(math.log(den / num))).cast("int")
-    open_rows = large.join(apart, "family").select("family", "cls", "n", "label", (F.col("label") == F.col("main")).cast("int").alias("r"), band.alias("b"))
-    open_rows = scratch.save(open_rows, "large-open")
-    blocks = open_rows.groupBy("family", "b", "r").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE_ROWS), F.ceil(F.sum("n") * 2 / TILE_SHINGLES)).cast("int").alias("blocks"))
-    blocks = scratch.save(blocks, "large-blocks")
-    dealt = open_rows.join(blocks, ["family", "b", "r"]).withColumn("s", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    each = blocks.select("family", "b", "r", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("s"))
-    other = each.select("family", *[F.col(c).alias(f"{c}2") for c in ("b", "r", "s")])
+    dealt = large.join(near, "cls").join(most, "family").select("cls", "n", "label", band.alias("band"), (F.col("label") == F.col("main")).alias("main"), "family", "near")
+    # Classes that meet should share a block: dealt by where they meet first, and by class where too many do.
+    counts = dealt.groupBy("family", "band", "main").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE_ROWS), F.ceil(F.sum("n") * 2 / TILE_SHINGLES)).alias("parts"))
+    dealt = dealt.join(counts, ["family", "band", "main"]).withColumn("part", F.pmod(F.xxhash64("near"), F.col("parts"))).drop("parts", "near")
+    dealt = scratch.save(dealt, "large-dealt", many)
+    salts = dealt.groupBy("family", "band", "main", "part").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE_ROWS), F.ceil(F.sum("n") * 2 / TILE_SHINGLES)).alias("salts"))
+    dealt = dealt.join(salts, ["family", "band", "main", "part"]).withColumn("block", F.xxhash64("family", "band", "main", "part", F.pmod(F.xxhash64("cls"), F.col("salts"))))
+    dealt = scratch.save(dealt.select("cls", "label", "band", "main", "block"), "large-blocks", many)
+    places = scratch.save(lead.join(dealt.select("cls", "band", "main", "block"), "cls").select("first", "band", "main", "block").distinct(), "large-places", many)
+    other = places.select("first", *[F.col(c).alias(f"{c}2") for c in ("band", "main", "block")])
     # Pairs of blocks, each once; two blocks of the largest part are connected already.
-    twice = each.join(other, "family").filter("abs(b - b2) <= 1 AND NOT (r = 1 AND r2 = 1) AND (b, r, s) <= (b2, r2, s2)")
-    twice = scratch.save(twice, "large-pairs")
-    tile = F.struct("family", "b", "s", "b2", "s2", "r", "r2").alias("tile")
-    left = dealt.join(twice, ["family", "b", "r", "s"]).select("cls", "label", tile)
-    right = dealt.select("family", "cls", "label", *[F.col(c).alias(f"{c}2") for c in ("b", "r", "s")]).join(twice.filter("(b, r, s) <> (b2, r2, s2)"), ["family", "b2", "r2", "s2"]).select("cls", "label", tile)
+    pairs = places.join(other, "first").filter("block <= block2 AND abs(band - band2) <= 1 AND NOT (main AND main2)").select("block", "block2").distinct()
+    pairs = scratch.save(pairs, "large-pairs", many)
+    own = dealt.select("cls", "label", "block")
+    tile = F.xxhash64("block", "block2").alias("tile")
+    left = own.join(pairs, "block").select("cls", "label", tile, F.lit(0).alias("side"))
+    right = own.withColumnRenamed("block", "block2").join(pairs.filter("block < block2"), "block2").select("cls", "label", tile, F.lit(1).alias("side"))
     return links, left.unionByName(right)
 
 
