@@ -14,19 +14,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import Scratch
+from tallywright.llm.common import Scratch, fresh, numbered
 
 
 def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", first: int = 64, growth: int = 16, widest: int = 1 << 20) -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256.
 
     Null text counts as empty. The row with the largest id stays; a null id is smaller than any other,
-    and of repeated rows with that id exactly one stays. Other columns are ignored. docs has to be a
-    scan or another input whose partitions are the same on each read, as rows are numbered.
+    and of repeated rows with that id exactly one stays. Other columns are ignored. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "exact")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.sha2(text, 256).alias("sha"), text.cast("binary").alias("rest"))
+    rows = numbered(docs.select(F.col(id_col).alias("id"), text.cast("binary").alias("rest")), "row", scratch, "rows")
+    whole = _groups(rows.select("row", "id", F.sha2("rest", 256).alias("sha"), "rest"), scratch, first, growth, widest)
+    return whole.select(
+        F.col("id").alias(id_col), F.col("top").alias("keep_id"), F.col("n").alias("group_size"),
+        (F.col("row") == F.col("top_row")).alias("kept"), F.col("sha").alias("text_sha256"),
+    )
+
+
+def _groups(rows: DataFrame, scratch: Scratch, first: int = 64, growth: int = 16, widest: int = 1 << 20) -> DataFrame:
+    """row, id, sha, n, top and top_row (id and number of the row that stays) of a written table (row, id, sha, rest)."""
     done, wide, k = [], first, 0
     open_rows, group = rows, []
     while True:
@@ -55,21 +63,19 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     whole = done[0]
     for more in done[1:]:
         whole = whole.unionByName(more)
-    return whole.select(
-        F.col("id").alias(id_col), F.col("top").alias("keep_id"), F.col("n").alias("group_size"),
-        (F.col("row") == F.col("top_row")).alias("kept"), F.col("sha").alias("text_sha256"),
-    )
+    return whole
 
 
 def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns. Of rows that repeat an id and its text one stays."""
-    sha = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
-    stay = exact_groups(docs, id_col=id_col, text_col=text_col)
-    gone = stay.filter(~F.col("kept")).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    # An id and text with both a kept and a dropped row is a repeated row.
-    repeated = gone.distinct().join(stay.filter("kept").select(F.col(id_col).alias("_kept"), "text_sha256"), F.expr("_id <=> _kept AND _sha = text_sha256"), "left_semi")
-    keyed = docs.withColumn("_of", sha)
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_sha"))
-    plain = keyed.join(gone, same, "left_anti")
-    again = keyed.join(repeated, same, "left_semi").dropDuplicates([id_col, "_of"])
-    return plain.unionByName(again).drop("_of")
+    """The rows of docs that stay, with all their columns, of any names: one of each text, that of the largest id.
+
+    Null text counts as empty; of rows that repeat an id and its text one stays. An empty table stays empty.
+    Rows are numbered once and written, and leave by that number.
+    """
+    scratch = Scratch(docs.sparkSession, "copies")
+    row = fresh(docs, "row")
+    table = numbered(docs, row, scratch, "rows")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    groups = _groups(table.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.lit(0).alias("sha"), text.alias("rest")), scratch)
+    gone = groups.filter("row <> top_row").select(F.col("row").alias(row))
+    return table.join(gone, row, "left_anti").select(*docs.columns)
