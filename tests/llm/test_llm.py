@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +92,32 @@ def test_near_large_family(spark, monkeypatch):
     assert found == brute.components(rows, 3, 90, 100)
 
 
+def test_near_copies_of_a_long_text(spark):
+    """2,000 near copies of one long text, each a link from the next ones: one component, besides a plain text and an empty one."""
+    r, base = random.Random(9), prose(77, 1500).split()
+    rows = [(0, "alone " + prose(78, 40)), (1, "")]
+    for i in range(2000):
+        own = list(base)
+        for _ in range(r.randrange(0, 4)):
+            own[r.randrange(len(own))] = f"w{r.randrange(10**6)}"
+        rows.append((10 + i, " ".join(own)))
+    found = near.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), k=5, num=80, den=100).collect()
+    assert len(found) == len(rows)
+    assert {r.doc_id: r.component_id for r in found} == {d: min(d, 10) for d, _ in rows}
+
+
+def test_chunks_make_up_sets():
+    sets = [np.sort(np.random.default_rng(i).integers(0, 1 << 62, 700 * i).astype(np.uint64)) for i in range(4)]
+    rows = [(t, 0, c, c, sets[c][a : a + 1000].tobytes()) for t, c in ((5, 1), (5, 2), (6, 2), (6, 3)) for a in range(0, len(sets[c]), 1000)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("tile", "side", "cls", "label", "shingles"), row)) for row in rows[a : a + 2]]) for a in range(0, len(rows), 2)]
+    assert [(t, c, u.tolist()) for t, _, c, _, u in near._sets(batches)] == [(t, c, sets[c].tolist()) for t, c in ((5, 1), (5, 2), (6, 2), (6, 3))]
+
+
+def test_tile_with_sides_compares_across_only():
+    sets = [np.arange(100, dtype=np.uint64) + np.uint64(i) for i in (0, 1, 2, 3)]
+    assert near.tile_links([0, 1, 2, 3], [0, 1, 2, 3], sets, 90, 100, [0, 0, 1, 1]) == [(0, 2), (0, 3), (1, 2)]
+
+
 def test_keys_meet_for_every_linked_pair():
     r = random.Random(3)
     bands = near.Bands(80, 100)
@@ -129,6 +156,42 @@ def test_quality_rejects_junk_and_keeps_prose(spark):
     assert all(found[i] for i in range(200)) and not any(found[1000 + i] for i in range(20))
 
 
+def plain_model(x):
+    """Centre and covariance of the three quarters nearest to the centre, by steps from both starts until the determinant stays; with numpy."""
+    least = np.array(list(quality.FLOOR.values()))
+    middle = np.sort(x, 0)[(len(x) - 1) // 2]
+    wide = np.maximum(1.4826 * np.sort(np.abs(x - middle), 0)[(len(x) - 1) // 2], least)
+    t = np.tanh((x - middle) / wide)
+    ends = []
+    for cov in (np.diag(wide**2), np.outer(wide, wide) * (t.T @ t / len(x) + 0.1 * np.eye(x.shape[1]))):
+        centre, was = middle, None
+        while was is None or np.linalg.det(cov) < was * (1 - quality.FALL):
+            was = np.linalg.det(cov) if centre is not middle else np.inf
+            d2 = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre)
+            nearest = x[d2 <= np.quantile(d2, quality.SHARE, method="inverted_cdf")]
+            centre = nearest.mean(0)
+            cov = (nearest - centre).T @ (nearest - centre) / len(nearest) * quality.CONSISTENT + np.diag(least**2)
+            ends.append((np.linalg.det(cov), centre, cov))
+    return min(ends, key=lambda e: e[0])[1:]
+
+
+def test_distances_are_those_of_a_plain_estimate(spark):
+    """Verdicts and distances over two pools, one with junk, against numpy; a small source falls to the model of all rows."""
+    rows = [(i, prose(i, 60 + i % 90) + " Ab, C!" * (i % 4), "en", "ab"[i % 2]) for i in range(400)] + [(1000 + i, "|| ".join(prose(i, 80).split()), "en", "a") for i in range(15)] + [(2000, prose(5, 90), "xx", "z")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r.doc_id: r for r in quality.judge(table).collect()}
+    assert not any(r.base_failed for r in found.values()) and not any(found[1000 + i].kept for i in range(15))
+    vectors = {r.doc_id: np.array(r[1:]) for r in quality.text_statistics(table).withColumns(quality._vector()).select("doc_id", *quality.FLOOR).collect()}
+    for pool in ("a", "b", None):
+        own = [d for d, _, _, s in rows if s == pool or pool is None]
+        centre, cov = plain_model(np.array([vectors[d] for d in own]))
+        for d in own if pool else [2000]:
+            off = vectors[d] - centre
+            want = float(off @ np.linalg.inv(cov) @ off)
+            assert found[d].distance == pytest.approx(want, rel=0.02, abs=0.02)
+            assert found[d].kept == (found[d].distance <= quality.CUTOFF)
+
+
 def test_repeats(spark):
     texts = ["a b c a b c", "a a a a", "a b c d", "x y z x y", "a b c x a b c y a b c", "a\na\n\nb\n a\na"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -163,8 +226,9 @@ def test_mixing(docs, none):
         took[r.source] += r.taken
     largest = {s: max(r.size for r in plan if r.source == s) for s in sizes}
     assert all(abs(took[s] - want[s]) <= largest[s] for s in sizes)
-    again = mixing.plan_mix(docs, keep=["doc_id", "source"]).collect()
-    assert sorted((r.row, r.copies) for r in plan) == sorted((r.row, r.copies) for r in again)
+    again = mixing.plan_mix(docs.repartition(7, "n_chars"), keep=["doc_id", "source"]).collect()
+    told = lambda rows: Counter((r.doc_id, r.source, r.size, r.copies) for r in rows)
+    assert told(plan) == told(again)  # however the input is laid out
     assert mixing.plan_mix(none).count() == 0
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
@@ -203,7 +267,8 @@ def test_slot_maps():
 
 def test_map_versions(spark, tmp_path):
     sharding.save_map(spark, str(tmp_path / "m"), 1, [0, 1])
-    sharding.save_map(spark, str(tmp_path / "m"), 2, [1, 1])
+    for owner in ([0, 0], [1, 1]):  # a version saved again is replaced
+        sharding.save_map(spark, str(tmp_path / "m"), 2, owner)
     assert [sorted(map(tuple, sharding.load_map(spark, str(tmp_path / "m"), v).collect())) for v in (1, 2)] == [[(0, 0), (1, 1)], [(0, 1), (1, 1)]]
 
 
@@ -217,11 +282,14 @@ def test_chat_round_trip(spark):
     want = defaultdict(list)
     for c, t, role, text, _, _ in rows:
         want[c].append((t is not None, t or 0, role or "", text or ""))
-    found = chat.format_chats(spark.createDataFrame(rows, TURNS)).collect()
+    rows += [(60, i, "assistant", prose(i, 20_000) + "</s>\\<s>𝒳", "", "") for i in range(2)]
+    want[60] = [(True, r[1], r[2], r[3]) for r in rows[-2:]]
+    found = chat.format_chats(spark.createDataFrame(rows, TURNS)).withColumn("said", chat.masked(F.col("formatted"), F.col("loss_mask"))).collect()
     assert len(found) == len(want)
     for r in found:
         assert [(t.role, t.text) for t in r.turns] == [x[2:] for x in sorted(want[r.conv_id])]
         assert len(r.loss_mask) == len(r.formatted)
+        assert r.said == [t.text for t in r.turns if t.role == "assistant" and t.text]  # turn by turn
     plain = [r for r in found if r.conv_id is None][0]
     assert (plain.formatted, plain.loss_mask, plain.escaped) == ("<s>n</s>", "00010000", False)
     assert chat.format_chats(spark.createDataFrame([], TURNS)).count() == 0
@@ -264,7 +332,10 @@ def test_codec_is_the_tokenizer():
     marks = ["", ".", ",", "!!", "'s", "…", "́", " ", " ", "<|endoftext|>", "12", "ß", "İ", "Σ", "\t", "\r\n", "漢字", "don't"]
     for _ in range(300):
         text = "".join(r.choice(WORDS) + r.choice(marks) + r.choice([" ", "\n", "", "  "]) for _ in range(r.randrange(12)))
-        assert codec.encode([text])[0] == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+        assert codec.encode(pa.array([text]))[0].tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    texts = [prose(i, i * 7) + r.choice(marks) for i in range(30)]
+    ids, at = codec.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_local_search_empties_bins():
@@ -273,7 +344,9 @@ def test_local_search_empties_bins():
     done = packing.improve(sizes, start, 100, passes=1000)
     assert sorted(i for b in done for i in b) == list(range(len(sizes)))
     assert all(sum(sizes[i] for i in b) <= 100 for b in done) and len(done) == 6
-    assert packing._segments("ab cd " * 300_000)[0].endswith(" ") and "".join(packing._segments("ab cd " * 300_000)) == "ab cd " * 300_000
+    parts = list(packing._segments("ab cd " * 600_000))
+    assert len(parts) > 1 and parts[1].startswith(" ") and "".join(parts) == "ab cd " * 600_000
+    assert list(packing._spans([3, 9, 1, 1, 8], 5)) == [(0, 1), (1, 2), (2, 4), (4, 5)]
 
 
 def test_local_search_goes_on_until_no_step_gains():
@@ -438,6 +511,29 @@ def test_toxicity(spark, docs, none):
     assert len(toxicity.rate(docs, spark.createDataFrame([], "doc_id long, toxic int"), part).collect()) == len(odd_rows())
 
 
+def test_layout_and_names_change_nothing(spark, tmp_path):
+    """Rows are numbered once: stages keep the same rows when file splits change between plan and action, and whatever columns are called."""
+    names = ["doc_id", "text", "lang", "source", "row", "_row", "n", "copies", "kept", "n_words", "pool"]
+    rows = [(d, t, g, s, *range(7)) for d, t, g, s, *_ in odd_rows()] * 2
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` int" for c in names[4:])).repartition(3).write.parquet(str(tmp_path / "d"))
+    key = "spark.sql.files.maxPartitionBytes"
+    was, found = spark.conf.get(key), []
+    for now, later in (("128m", "16k"), ("16k", "128m")):
+        spark.conf.set(key, now)
+        docs = spark.read.parquet(str(tmp_path / "d"))
+        plans = [quality.drop_poor(docs), exact.drop_copies(docs), near.drop_near(docs), mixing.mix(docs)]
+        spark.conf.set(key, later)
+        assert all(p.columns == names for p in plans)
+        found.append([Counter(p.select("doc_id", "text").collect()) for p in plans])
+    spark.conf.set(key, was)
+    assert found[0] == found[1] and all(found[0])
+
+
+def test_stages_on_empty_tables(none):
+    for stage in (quality.drop_poor, exact.drop_copies, near.drop_near, mixing.mix):
+        assert stage(none).columns == none.columns and stage(none).count() == 0
+
+
 def test_pipeline_stages(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.createDataFrame([r[:5] for r in odd_rows()], ", ".join(SCHEMA.split(", ")[:5]))
