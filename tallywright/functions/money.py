@@ -40,7 +40,7 @@ def format_minor(amount: Column, currency: Column) -> Column:
 def signed(amount: Column, direction: Column) -> Column:
     """Debits are negative; an unknown direction counts as positive; no amount is 0."""
     value = F.coalesce(amount, F.lit(0)).cast("long")
-    return F.when(F.upper(F.trim(F.coalesce(direction, F.lit("")))) == "DBIT", -value).otherwise(value)
+    return F.when(F.upper(F.coalesce(direction, F.lit(""))) == "DBIT", -value).otherwise(value)
 
 
 def usable_currency(currency: Column) -> Column:

@@ -99,3 +99,23 @@ def hmac_sha256(key: bytes, message: Column) -> Column:
 
 def account_key(key: bytes, iban: Column, currency: Column) -> Column:
     return hmac_sha256(key, F.concat(F.upper(F.trim(iban)), F.lit("|"), currency))
+
+
+#: What a reason code is shown as.
+REASONS = {
+    "provider_ref_reuse": "provider reference reuse",
+    "unresolved_cluster": "an unresolved cluster of identical rows",
+    "windowed_ambiguous": "an ambiguous time-window match",
+    "amount_changed": "the amount changed after booking",
+    "content_present_elsewhere": "identical content matched elsewhere in the ledger",
+    "direction_or_currency_changed": "the direction or currency changed after booking",
+    "reference_shared_in_fetch": "the provider reference was shared by more than one fetched row",
+}
+
+
+def reason_label(code: Column, opening: str, closing: str) -> Column:
+    """A reason code in words; an unknown one with blanks for underscores, without the fence marks given; none is said to be none."""
+    out = F.when(F.coalesce(code, F.lit("")) == "", F.lit("no reason recorded"))
+    for known, words in REASONS.items():
+        out = out.when(code == known, F.lit(words))
+    return out.otherwise(neutral(F.replace(code, F.lit("_"), F.lit(" ")), opening, closing))

@@ -10,7 +10,7 @@ from tallywright.operators.intervals import trim
 
 def purge(tables: dict[str, DataFrame], cutoff: str) -> dict[str, DataFrame]:
     """Without rows booked before the cutoff, and their tags and notes; coverage is trimmed; rules and high water stay."""
-    rows = tables["transactions"].filter(F.col("booking_date") >= cutoff)
+    rows = tables["transactions"].filter(F.coalesce(F.col("booking_date") >= cutoff, F.lit(True)))  # a row without a date stays
     gone = tables["transactions"].filter(F.col("booking_date") < cutoff).select("row_id")
     out = dict(tables, transactions=rows)
     for name in ("tags", "notes"):

@@ -100,3 +100,10 @@ def search(notes: DataFrame, query: str, key: str = "note_id", text: str = "note
             every = every & (has(words, prefix) if wanted else ~has(words, prefix))
         keep = keep | every
     return rows.filter(keep).select(key)
+
+
+def best(notes: DataFrame, scores: DataFrame, key: str = "note_id", row: str = "row_id") -> DataFrame:
+    """(row, key, score): the best-ranked note of each row among those with a score; of equal scores the first note."""
+    ranked = notes.select(key, row).join(scores.select(key, "score"), key)
+    top = F.max_by(F.struct(key, "score"), F.struct("score", -F.col(key))).alias("top")
+    return ranked.groupBy(row).agg(top).select(row, f"top.{key}", "top.score")

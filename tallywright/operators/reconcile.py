@@ -18,23 +18,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.functions.text import canon_ascii, identity_text
+from tallywright.functions.text import canon_ascii, identity_text, strict_date
 from tallywright.operators.identity import BOOKED, NEAR_DAYS, PENDING, WINDOW_DAYS, canon, identity
 
 EXACT = 8  # rows a side up to which a cluster is matched exactly
-MUTABLE = ("booking_date", "amount_minor", "status", "counterparty", "remittance", "provider_ref")
+MUTABLE = ("booking_date", "value_date", "amount_minor", "status", "counterparty", "remittance", "provider_ref")
 ACTIONS = "account_id long, op string, row_id long, fetch_idx int, local_id int, replaced_by int, identity_key string, occurrence int, method string, confidence double, needs_review boolean, reason string"
 
 
 def prepared(rows: DataFrame, unicode_text: bool = True) -> DataFrame:
-    """rows with the columns that the kernel compares; rows without a sound booking date are left out."""
+    """rows with the columns that the kernel compares; a row without a sound booking date has no day, see unsound()."""
+    rows = rows if "value_date" in rows.columns else rows.withColumn("value_date", F.lit(None).cast("string"))
     status = F.upper(F.trim(F.coalesce("status", F.lit(""))))
     return rows.withColumns({
-        "identity_key": identity(unicode_text), "day": F.datediff(F.to_date("booking_date"), F.lit("1970-01-01").cast("date")), "party": F.coalesce((identity_text if unicode_text else canon_ascii)(F.col("counterparty")), F.lit("")),
-        "unit": F.concat_ws("|", canon("direction", unicode_text), canon("currency", unicode_text)), "rank": F.when(status.isin(*BOOKED), 0).when(status.isin(*PENDING), 2).otherwise(1), "content": F.xxhash64(*MUTABLE),
+        "identity_key": identity(unicode_text), "day": F.datediff(strict_date(F.col("booking_date")), F.lit("1970-01-01").cast("date")), "party": F.coalesce((identity_text if unicode_text else canon_ascii)(F.col("counterparty")), F.lit("")),
+        "unit": F.concat_ws("|", canon("direction", unicode_text), canon("currency", unicode_text)), "rank": F.when(status.isin(*BOOKED), 0).when(status.isin(*PENDING), 2).otherwise(1), "content": F.sha2(F.to_json(F.struct(*MUTABLE), {"ignoreNullFields": "false"}), 256),
     })
 
 
+def unsound(rows: DataFrame) -> DataFrame:
+    """The rows that reconcile() can't place in time, to be reported: their booking date is absent or not YYYY-MM-DD."""
+    return rows.filter(strict_date(F.col("booking_date")).isNull())
+
+
 def best_pairs(fetched: list, stored: list, window: int, blocked: set) -> tuple[list, bool]:
     """One-to-one pairs (fetched, stored, days) within the window, and whether they are the best there are.
 
@@ -263,7 +269,7 @@ def _batch(actions: list[dict]) -> pa.RecordBatch:
 def reconcile(stored: DataFrame, fetched: DataFrame, capability: DataFrame, *, window: int = WINDOW_DAYS, interval: tuple[int, int] | None = None) -> DataFrame:
     """The actions that bring the ledger up to date, as ACTIONS.
 
-    stored has every state (an occurrence, once issued, is never issued again); fetched has fetch_idx.
+    Rows of unsound() take no part. stored has every state (an occurrence, once issued, is never issued again); fetched has fetch_idx.
     capability is (account_id, ref_stable, ref_scope). Without an interval nothing is marked as vanished.
     """
     trust = capability.select("account_id", F.coalesce(F.col("ref_stable") & (F.col("ref_scope") == "account"), F.lit(False)).alias("trusted"))

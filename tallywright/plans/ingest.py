@@ -2,30 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallywright.functions import text
 from tallywright.operators import fts, identity, reconcile as rec, scan
 from tallywright.plans.registry import query
-from tallywright.sources import feed
+from tallywright.sources import feed, store
 from tallywright.sources.ledger import Ledger
 
 
 def stored(L: Ledger) -> DataFrame:
     """Half of the rows, as the ledger has them."""
-    rows = L.transactions.filter("row_id % 2 = 1 AND booking_date <> '2024-2-30'")
+    rows = L.transactions.filter("row_id % 2 = 1")
     return rows.withColumn("occurrence", F.lit(0)).withColumn("amount_minor", F.expr("amount_minor div 1000000"))
 
 
 def fetched(L: Ledger) -> DataFrame:
     """The same rows as a later fetch has them: dates moved by 0 to 4 days, some amounts, states and references changed, some rows missing, and new ones."""
     key = F.col("row_id")
-    rows = L.transactions.filter("row_id % 9 <> 4 AND booking_date <> '2024-2-30'").withColumn("amount_minor", F.expr("amount_minor div 1000000"))
+    rows = L.transactions.filter("row_id % 9 <> 4").withColumn("amount_minor", F.expr("amount_minor div 1000000"))
     return rows.select(
-        key.cast("int").alias("fetch_idx"), "account_id", F.date_format(F.date_add(F.to_date("booking_date"), (key % 5).cast("int")), "yyyy-MM-dd").alias("booking_date"),
+        key.cast("int").alias("fetch_idx"), "account_id", F.date_format(F.date_add(text.strict_date(F.col("booking_date")), (key % 5).cast("int")), "yyyy-MM-dd").alias("booking_date"),
         F.when(key % 12 == 5, F.col("amount_minor") + 1).otherwise(F.col("amount_minor")).alias("amount_minor"), "currency", "direction",
         F.when(key % 3 == 0, "BOOK").otherwise(F.col("status")).alias("status"), "counterparty", "remittance", "provider_ref",
     )
@@ -44,6 +44,12 @@ def reconcile(L: Ledger):
     return _actions(L)
 
 
+@query("transactions", "SELECT row_id, booking_date FROM transactions WHERE NOT coalesce(regexp_full_match(booking_date, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND TRY_CAST(booking_date AS DATE) IS NOT NULL, false)")
+def reconcile_unsound(L: Ledger):
+    """Rows that are reported instead of matched."""
+    return rec.unsound(L.transactions).select("row_id", "booking_date")
+
+
 @query()
 def reconcile_reference(L: Ledger):
     return _actions(L).filter(F.col("method").startswith("reference") | (F.col("reason") == "provider_ref_reuse"))
@@ -149,6 +155,14 @@ def notes_match(L: Ledger):
     return fts.match(L.notes, ["the", "reth"], ["der"]).withColumn("score", F.round("score", 6))
 
 
+@query("notes", f"""
+    WITH {TERMS}, found AS (SELECT note_id, round(sum(ln(1 + (notes - df + 0.5) / (df + 0.5)) * times * 2.2 / (times + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
+        FROM q JOIN d USING (term), s GROUP BY note_id HAVING count(*) = 2)
+    SELECT row_id, note_id, score FROM (SELECT row_id, note_id, score, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, note_id) AS k FROM found JOIN notes USING (note_id)) WHERE k = 1""")
+def notes_best(L: Ledger):
+    return fts.best(L.notes, fts.match(L.notes, ["the", "reth"]).withColumn("score", F.round("score", 6)))
+
+
 @query("notes", "SELECT note_id FROM notes WHERE contains(' ' || array_to_string(list_filter(regexp_split_to_array(lower(coalesce(note, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), ' ') || ' ', ' of the ')")
 def notes_phrase(L: Ledger):
     return fts.phrase(L.notes, ["of", "the"])
@@ -160,9 +174,19 @@ def notes_search(L: Ledger):
     return fts.search(L.notes, '"the reth" OR thing* NOT der')
 
 
-@query()
+@query("", """
+    SELECT doc_id, 'DE' || lpad((98 - (body || '131400')::HUGEINT % 97)::VARCHAR, 2, '0') || body AS number
+    FROM (SELECT doc_id, lpad(doc_id::VARCHAR, 18, '37') AS body FROM documents WHERE doc_id % 10 = 0)""")
 def scan_identifiers(L: Ledger):
-    return scan.scan_numbers(L.table("documents"), "doc_id", "text")
+    """All documents; every tenth has a number at its end, plain, in groups or behind escapes."""
+    key = F.col("doc_id")
+    body = F.lpad(key.cast("string"), 18, "37")
+    check = (98 - F.concat(body, F.lit("131400")).cast("decimal(24,0)") % 97).cast("int")
+    number = F.concat(F.lit("DE"), F.lpad(check.cast("string"), 2, "0"), body)
+    groups = F.array_join(F.regexp_extract_all(number, F.lit("(.{1,4})"), F.lit(1)), " ")
+    hidden = F.when(key % 30 == 0, number).when(key % 30 == 10, groups).otherwise(F.concat(F.lit("\\x44"), F.substring(number, 2, 99)))
+    planted = F.when(key % 10 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("\n; "), hidden)).otherwise(F.col("text"))
+    return scan.scan_numbers(L.table("documents").select("doc_id", planted.alias("text")), "doc_id", "text")
 
 
 @query()
@@ -176,7 +200,7 @@ def stream_daily_totals(L: Ledger):
     from tallywright.streaming.windows import daily_totals, run_to_end
 
     spark = L.spark
-    top = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='stream-')).rstrip('/')}/{uuid.uuid4().hex}"
+    top = f"{store.shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
     schema = L.table("events").select("ts", "event_type").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(L.dir).select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     run_to_end(daily_totals(events), f"{top}/out", f"{top}/state")

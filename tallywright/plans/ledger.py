@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallywright.functions import text
-from tallywright.operators import erase, intervals, reads, refresh, rules, trust
+from tallywright.operators import accounts, annotate, erase, intervals, reads, refresh, rules, trust
 from tallywright.plans.registry import query
+from tallywright.sources import feed
 from tallywright.sources.ledger import AS_OF, Ledger
 
 LIVE = "state IN ('active', 'vanished')"
@@ -240,13 +241,71 @@ def account_overlay(L: Ledger):
     return L.accounts.join(patch, "account_id", "left").select("account_id", F.coalesce("label", "name").alias("name"), F.coalesce("keep", "included").alias("included"))
 
 
-@query("accounts", "SELECT account_id, CASE WHEN account_id % 3 = 0 THEN 'New ' || account_id ELSE name END AS name, 's-new' AS session_id, account_id % 11 = 0 AS refused FROM accounts")
+@query("accounts", "SELECT account_id, CASE WHEN account_id % 3 = 0 AND account_id % 11 <> 0 THEN 'New ' || account_id ELSE name END AS name, CASE WHEN account_id % 11 = 0 THEN session_id ELSE 's-new' END AS session_id, account_id % 11 = 0 AS refused FROM accounts")
 def upsert_accounts(L: Ledger):
     """A fetched account overwrites its session; an absent name keeps the old one; a changed binding is refused."""
     key = F.col("account_id")
-    fetched = L.accounts.select("account_id", F.when(key % 3 == 0, F.concat(F.lit("New "), key.cast("string"))).alias("new_name"), F.lit("s-new").alias("session_id"), F.when(key % 11 == 0, "other").otherwise(F.col("aspsp")).alias("bank"))
-    joined = L.accounts.drop("session_id").join(fetched, "account_id", "left")
-    return joined.select("account_id", F.coalesce("new_name", "name").alias("name"), "session_id", (F.col("bank") != F.col("aspsp")).alias("refused"))
+    fetched = L.accounts.select("account_id", F.when(key % 3 == 0, F.concat(F.lit("New "), key.cast("string"))).alias("name"), F.lit("s-new").alias("session_id"), F.when(key % 11 == 0, "other").otherwise(F.col("aspsp")).alias("aspsp"))
+    return accounts.upsert(L.accounts, fetched).select("account_id", "name", "session_id", "refused")
+
+
+@query("accounts", "SELECT account_id, a.session_id, CASE WHEN k < 30 THEN 'AUTHORIZED' END AS status FROM accounts a LEFT JOIN (SELECT 's' || k AS session_id, k FROM range(30) r(k)) s USING (session_id)")
+def account_sessions(L: Ledger):
+    sessions = L.spark.range(30).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("session_id"), F.lit("AUTHORIZED").alias("status"))
+    return accounts.with_session(L.accounts, sessions).select("account_id", "session_id", "status")
+
+
+@query("accounts", "SELECT 2 * account_id AS account_id, 'rebind ' || account_id AS last_error, (SELECT name FROM accounts b WHERE b.account_id = 2 * a.account_id) AS name FROM accounts a WHERE account_id % 4 = 1")
+def binding_reviews(L: Ledger):
+    """Half of the reviews name accounts that are not there any more."""
+    key = F.col("account_id")
+    kind = F.when(key % 2 == 1, "account_binding").otherwise("transactions").alias("resource")
+    state = F.when(key % 4 < 2, "review_required").otherwise("complete").alias("completeness")
+    reviews = L.accounts.select((2 * key).alias("account_id"), kind, state, F.concat(F.lit("rebind "), key.cast("string")).alias("last_error"))
+    return accounts.binding_reviews(reviews, L.accounts)
+
+
+@query("transactions", "SELECT row_id, account_id FROM transactions WHERE account_id % 6 = row_id % 6")
+def guarded_write(L: Ledger):
+    """Rows were fetched under one of six incarnations; only the account's present one may write."""
+    key = F.col("account_id")
+    life = L.accounts.select("account_id", (key % 6).cast("string").alias("incarnation"))
+    return accounts.guarded(L.transactions.select("row_id", "account_id", (F.col("row_id") % 6).cast("string").alias("incarnation")), life).select("row_id", "account_id")
+
+
+@query("transactions rules tags", f"""
+    WITH {RULE_HIT} SELECT DISTINCT row_id, tag FROM (SELECT row_id, unnest(tags) AS tag FROM hit WHERE row_id IN (SELECT row_id FROM transactions WHERE booking_date >= '1996-01-01' AND booking_date < '1997-01-01')) n
+    WHERE NOT EXISTS (SELECT 1 FROM tags t WHERE t.row_id = n.row_id AND t.tag = n.tag)""")
+def apply_rules_scoped(L: Ledger):
+    return rules.apply_rules(annotate.scope(L.transactions, start="1996-01-01", end="1997-01-01"), L.tags, L.rules)
+
+
+@query("transactions notes", """
+    SELECT row_id, note_id, author, length(note) AS chars FROM notes UNION ALL
+    SELECT row_id, (SELECT max(note_id) FROM notes) + row_number() OVER (ORDER BY row_id), 'operator', 7 FROM (SELECT row_id FROM transactions WHERE state IN ('active', 'vanished') ORDER BY booking_date DESC, row_id DESC LIMIT 100)""")
+def add_note(L: Ledger):
+    """A note on the hundred newest rows, as many as a call may reach."""
+    newest = annotate.scope(L.transactions).orderBy(F.desc("booking_date"), F.desc("row_id")).limit(annotate.ROWS_PER_CALL)
+    last = L.notes.agg(F.max("note_id")).first()[0]
+    return annotate.add_note(L.notes, newest, "checked", "operator", last).select("row_id", "note_id", "author", F.char_length("note").cast("long").alias("chars"))
+
+
+@query("transactions", """
+    SELECT row_id, CASE review_reason WHEN 'amount_changed' THEN 'the amount changed after booking' WHEN 'direction_or_currency_changed' THEN 'the direction or currency changed after booking'
+        WHEN 'provider_ref_reuse' THEN 'provider reference reuse' WHEN 'cluster_oversized' THEN 'cluster oversized' WHEN 'content_present' THEN 'content present' ELSE 'no reason recorded' END AS label FROM transactions""")
+def reason_labels(L: Ledger):
+    return L.transactions.select("row_id", text.reason_label(F.col("review_reason"), "<fence>", "</fence>").alias("label"))
+
+
+@query("", """
+    SELECT c_custkey AS account_id, seq, kind AS balance_type, CASE WHEN c_custkey % 17 <> 0 THEN CAST(CAST(c_acctbal AS DECIMAL(18,2)) * 100 AS BIGINT) END AS amount_minor, 'EUR' AS currency
+    FROM customer, (VALUES (0, 'CLBD'), (1, 'XPCD')) v(seq, kind) WHERE c_custkey % 19 <> 0""")
+def balances_scan(L: Ledger):
+    """Balance answers as the provider sends them; some amounts have too many places, some answers are empty."""
+    key, amount = F.col("c_custkey"), F.col("c_acctbal").cast("decimal(18,2)").cast("string")
+    one = lambda kind: F.struct(F.lit(kind).alias("balance_type"), F.struct(F.lit("EUR").alias("currency"), F.when(key % 17 == 0, F.concat(amount, F.lit("1"))).otherwise(amount).alias("amount")).alias("balance_amount"), F.lit(None).cast("string").alias("reference_date"))
+    answers = L.table("customer").select(key.alias("account_id"), F.to_json(F.struct(F.when(key % 19 == 0, F.slice(F.array(one("CLBD")), 1, 0)).otherwise(F.array(one("CLBD"), one("XPCD"))).alias("balances"))).alias("answer"))
+    return feed.balances_of(answers).select("account_id", "seq", "balance_type", "amount_minor", "currency")
 
 
 @query("transactions", f"""
@@ -318,11 +377,12 @@ def verify_accounts(L: Ledger):
     return sums.select("aspsp", verdict.alias("verdict"), "missing", "unexpected")
 
 
-@query("", "SELECT user_id AS account_id, count(*) AS pages, count(*) < 60 AND bool_or(event_id % 3 = 0) AS complete FROM events GROUP BY 1")
+@query("", "SELECT user_id AS account_id, count(*) AS pages, count(*) <= 60 AND bool_or(event_id % 3 = 0) AS complete FROM events GROUP BY 1")
 def page_completeness(L: Ledger):
     """A paged fetch counts only if it ended (a page without a continuation) within the page cap."""
-    pages = L.table("events").select(F.col("user_id").alias("account_id"), (F.col("event_id") % 3 == 0).alias("last"))
-    return pages.groupBy("account_id").agg(F.count(F.lit(1)).alias("pages"), F.bool_or("last").alias("ended")).select("account_id", "pages", (F.col("ended") & (F.col("pages") < 60)).alias("complete"))
+    pages = L.table("events").select(F.col("user_id").alias("account_id"), F.when(F.col("event_id") % 3 != 0, "next").alias("continuation_key"))
+    whole = feed.complete(pages).select("account_id").distinct().withColumn("complete", F.lit(True))
+    return pages.groupBy("account_id").agg(F.count(F.lit(1)).alias("pages")).join(whole, "account_id", "left").select("account_id", "pages", F.coalesce("complete", F.lit(False)).alias("complete"))
 
 
 @query("transactions tags notes coverage", """

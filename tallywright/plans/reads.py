@@ -10,7 +10,7 @@ from tallywright.plans.registry import query
 from tallywright.sources.ledger import AS_OF, Ledger
 
 LIVE = "state IN ('active', 'vanished')"
-SIGNED = "CASE WHEN upper(trim(coalesce(direction, ''))) = 'DBIT' THEN -coalesce(amount_minor, 0) ELSE coalesce(amount_minor, 0) END"
+SIGNED = "CASE WHEN upper(coalesce(direction, '')) = 'DBIT' THEN -coalesce(amount_minor, 0) ELSE coalesce(amount_minor, 0) END"
 GOOD = "coalesce(regexp_full_match(currency, '\\p{L}{3}'), false)"
 STATE = """CASE WHEN bool_or(tag = 'unclassifiable') THEN 'terminal' WHEN bool_or(tag = 'awaiting-operator') THEN 'parked'
            WHEN bool_or(tag NOT IN ('awaiting-operator', 'unclassifiable')) THEN 'classified' ELSE 'workable' END"""

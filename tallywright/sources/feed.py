@@ -24,6 +24,24 @@ def complete(pages: DataFrame, cap: int = 60) -> DataFrame:
     return pages.join(ended.select("account_id"), "account_id", "left_semi")
 
 
+BALANCES = "balances array<struct<balance_type: string, balance_amount: struct<currency: string, amount: string>, reference_date: string>>"
+
+
+def read_balances(spark: SparkSession, path: str) -> DataFrame:
+    """Balance answers of a landing folder, JSON lines with account_id; an answer is whole, it has no pages."""
+    return balances_of(spark.read.text(path).select(F.get_json_object("value", "$.account_id").cast("long").alias("account_id"), F.col("value").alias("answer")))
+
+
+def balances_of(answers: DataFrame) -> DataFrame:
+    """(account_id, seq, balance_type, amount_minor, currency, reference_date) from answers (account_id, answer as JSON).
+
+    An amount that its currency can't hold is null. An empty answer gives no rows and proves nothing.
+    """
+    each = answers.select("account_id", F.posexplode(F.from_json("answer", BALANCES)["balances"]).alias("seq", "b"))
+    currency = F.col("b.balance_amount.currency")
+    return each.select("account_id", "seq", "b.balance_type", to_minor(F.col("b.balance_amount.amount"), currency).alias("amount_minor"), currency.alias("currency"), "b.reference_date")
+
+
 def rows_of(pages: DataFrame) -> DataFrame:
     return pages.select("account_id", "page_no", F.posexplode("transactions").alias("at", "t")).select("account_id", "page_no", "at", "t.*")
 

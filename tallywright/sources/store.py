@@ -6,6 +6,8 @@ and has a number; a store written by a newer schema is refused.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA_VERSION = 1
@@ -54,3 +56,13 @@ def export(rows: DataFrame, path: str, kind: str = "csv", without: tuple[str, ..
     kept = rows.select(*[c for c in rows.columns if c not in without]).orderBy("account_id", "booking_date", "row_id")
     writer = kept.write.mode("overwrite")
     writer.option("header", True).csv(path) if kind == "csv" else writer.json(path)
+
+
+def shared_dir(spark) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode only."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if place:
+        return place
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tallywright-")

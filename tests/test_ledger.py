@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallywright import plans, reach
 from tallywright.functions import money, text
 from tallywright.functions.stem import stem
-from tallywright.operators import erase, fts, identity, intervals, reads, reconcile, refresh, rules, scan, trust
+from tallywright.operators import accounts, annotate, erase, fts, identity, intervals, reads, reconcile, refresh, rules, scan, trust
 from tallywright.sources import feed
 from tallywright.sources.store import Store, export
 from tallywright.streaming import windows
@@ -287,8 +287,11 @@ def test_scanners(spark):
     import base64
 
     hidden = [base64.b64encode(f"pay {a} now".encode()).decode(), a[:4] + "%20" + a[4:], "\\u004e" + a[1:], a[0] + "​" + a[1:]]
+    hidden.append(f'"{a[:8]}\\n{a[8:]}"')  # broken by a line feed within a string literal
+    wrapped = base64.encodebytes(b"x" * 50 + f" pay {a} now".encode()).decode()  # over the wrap at 76 columns
+    hidden += [wrapped, base64.urlsafe_b64encode(f"??>> pay {a} now".encode()).decode() + " word"]
     rows = spark.createDataFrame(list(enumerate([*hidden, None, "plain"])), "k long, t string")
-    assert sorted((r.k, r.number) for r in scan.scan_numbers(rows, "k", "t").collect()) == [(i, a) for i in range(4)]
+    assert sorted((r.k, r.number) for r in scan.scan_numbers(rows, "k", "t").collect()) == [(i, a) for i in range(7)]
     assert scan.scan_numbers(rows, "k", "t", [a]).count() == 0
     lines = spark.createDataFrame([(1, "ok\nthe P0 code\nP0 first\nround 2 ruling\nMajor 1\nfinding E12\n§8.1")], "k long, t string")
     assert [(r.line_no, r.category) for r in scan.lines(lines, "k", "t").orderBy("line_no").collect()] == [(3, "severity"), (4, "ruling"), (5, "severity"), (6, "decision_code"), (7, "private_spec")]
@@ -342,3 +345,45 @@ def test_identity(spark):
     for unicode_text in (False, True):
         keys = [r[0] for r in frame.select(identity.identity(unicode_text)).collect()]
         assert keys[0] == keys[1] and len(set(keys)) == 4
+
+
+def test_purge_keeps_rows_without_a_date(spark):
+    rows = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-03-01"), (3, None)], "row_id long, booking_date string")
+    tags = spark.createDataFrame([(1, "a"), (3, "a")], "row_id long, tag string")
+    left = erase.purge({"transactions": rows, "tags": tags}, "2024-02-01")
+    assert sorted(r.row_id for r in left["transactions"].collect()) == [2, 3] and [r.row_id for r in left["tags"].collect()] == [3]
+
+
+def test_reconcile_sees_value_dates_and_reports_unsound_ones(spark):
+    base = "account_id long, booking_date string, value_date string, amount_minor long, currency string, direction string, status string, counterparty string, remittance string, provider_ref string"
+    row = (1, "2024-01-05", "2024-01-05", 100, "EUR", "DBIT", "BOOK", "shop", "x", None)
+    stored = spark.createDataFrame([(7, 0, "active", False, None, *row), (8, 1, "active", False, None, 1, "2024-2-30", *row[2:])], "row_id long, occurrence int, state string, needs_review boolean, review_reason string, " + base)
+    trust_ = spark.createDataFrame([(1, False, "account")], "account_id long, ref_stable boolean, ref_scope string")
+    for value, ops in (("2024-01-05", []), ("2024-01-06", [("update", 7)])):
+        fetched = spark.createDataFrame([(0, *row[:2], value, *row[3:])], "fetch_idx int, " + base)
+        assert [(r.op, r.row_id) for r in reconcile.reconcile(stored, fetched, trust_).collect()] == ops
+    assert [r.row_id for r in reconcile.unsound(stored).collect()] == [8]
+
+
+def test_accounts(spark):
+    held = spark.createDataFrame([(1, "a", "B", "s1"), (2, "b", "B", "s1"), (3, "c", "B", "s1")], "account_id long, name string, aspsp string, session_id string")
+    fetched = spark.createDataFrame([(1, None, None, "s2"), (2, "new", "C", "s2"), (4, "d", "B", "s2")], "account_id long, name string, aspsp string, session_id string")
+    found = sorted(tuple(r) for r in accounts.upsert(held, fetched).collect())
+    assert found == [(1, "a", "B", "s2", False), (2, "b", "B", "s1", True), (3, "c", "B", "s1", False), (4, "d", "B", "s2", False)]
+    life = spark.createDataFrame([(1, "x"), (2, "y")], "account_id long, incarnation string")
+    rows = spark.createDataFrame([(1, "x", 1), (1, "old", 2), (3, "x", 3)], "account_id long, incarnation string, row_id long")
+    assert [r.row_id for r in accounts.guarded(rows, life).collect()] == [1]
+
+
+def test_notes_and_scope(spark):
+    rows = spark.createDataFrame([(i, i % 2, f"2024-01-{i:02d}", ["active", "superseded", "vanished"][i % 3]) for i in range(1, 10)], "row_id long, account_id long, booking_date string, state string")
+    ids = lambda df: sorted(r.row_id for r in df.collect())
+    assert ids(annotate.scope(rows)) == [2, 3, 5, 6, 8, 9]
+    assert ids(annotate.scope(rows, row_ids=[1, 2, 3])) == [2, 3] and ids(annotate.scope(rows, account_id=0, start="2024-01-03", end="2024-01-08")) == [6]
+    with pytest.raises(ValueError):
+        annotate.scope(rows, row_ids=list(range(101)))
+    notes = spark.createDataFrame([(5, 2, "operator", "old")], "note_id long, row_id long, author string, note string")
+    assert sorted(tuple(r) for r in annotate.add_note(notes, rows.limit(2), "hi", "operator", 5).collect()) == [(5, 2, "operator", "old"), (6, 1, "operator", "hi"), (7, 2, "operator", "hi")]
+    for note, author in (("", "operator"), ("x" * 1001, "operator"), ("x", "else")):
+        with pytest.raises(ValueError):
+            annotate.add_note(notes, rows.limit(1), note, author, 5)
