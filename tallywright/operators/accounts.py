@@ -42,3 +42,24 @@ def binding_reviews(sync_state: DataFrame, accounts: DataFrame) -> DataFrame:
 def guarded(rows: DataFrame, accounts: DataFrame) -> DataFrame:
     """The rows that may be written: those of an account's present incarnation. An account forgotten and linked again has another."""
     return rows.join(accounts.select("account_id", "incarnation"), ["account_id", "incarnation"], "left_semi")
+
+
+def verify(intended: DataFrame, returned: DataFrame) -> DataFrame:
+    """By bank, what a consent returned against what was intended: (aspsp, verdict, missing, unexpected, extra_currency).
+
+    Both have aspsp and number; returned has currency too. A number in several currencies is several accounts of the
+    ledger, of which one at most was approved, so it counts as extra even where the numbers agree.
+    """
+    got = returned.filter("number IS NOT NULL").groupBy("aspsp", "number").agg(F.count_distinct(F.coalesce("currency", F.lit(""))).alias("currencies"))
+    both = intended.select("aspsp", "number").distinct().withColumn("want", F.lit(True)).join(got, ["aspsp", "number"], "full")
+    sums = both.groupBy("aspsp").agg(
+        F.count("currencies").alias("n"), F.count_if(F.expr("want AND currencies IS NULL")).alias("missing"), F.count_if(F.expr("want IS NULL")).alias("unexpected"), F.count_if(F.expr("currencies > 1")).alias("extra_currency")
+    )
+    verdict = F.when(F.col("n") == 0, "zero").when(F.col("missing") > 0, "missing").when(F.col("unexpected") > 0, "unexpected").when(F.col("extra_currency") > 0, "currency").otherwise("exact")
+    return sums.select("aspsp", verdict.alias("verdict"), "missing", "unexpected", "extra_currency")
+
+
+def renewable(sessions: DataFrame) -> DataFrame:
+    """Each bank's session to renew: of the newest generation, then the latest authorised, then by id."""
+    order = F.struct("generation", "authorized_at", "session_id")
+    return sessions.groupBy("aspsp").agg(F.max_by(F.struct("session_id", "generation"), order).alias("top")).select("aspsp", "top.session_id", "top.generation")

@@ -29,3 +29,16 @@ def tag_usage(rows: DataFrame, tags: DataFrame, limit: int = 200) -> DataFrame:
     """Rows per tag, not superseded ones, most used first."""
     live = rows.filter(~F.coalesce(F.col("state") == "superseded", F.lit(False)))
     return tags.join(live.select("row_id"), "row_id").groupBy("tag").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "tag").limit(limit)
+
+
+def tag_total(rows: DataFrame, tags: DataFrame) -> DataFrame:
+    """How many tags are in use, those beyond a listing's limit included."""
+    live = rows.filter(~F.coalesce(F.col("state") == "superseded", F.lit(False)))
+    return tags.join(live.select("row_id"), "row_id", "left_semi").agg(F.count_distinct("tag").alias("tags"))
+
+
+def spend_listing(spend: DataFrame, cap: int = 200) -> DataFrame:
+    """The groups as shown: by currency, largest first; no more than cap, with how many are `omitted`."""
+    top = spend.orderBy("currency", F.desc(F.abs("total_minor")), "tag").limit(cap)
+    count = spend.agg(F.greatest(F.count(F.lit(1)) - cap, F.lit(0)).alias("omitted"))  # one row
+    return top.withColumn("omitted", count.scalar())

@@ -8,31 +8,30 @@ from pyspark.sql import functions as F
 from tallywright.operators.intervals import trim
 
 
+def _without(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """Every table keyed by row alone (tags, notes, references) without the rows that go."""
+    return {name: df.join(gone, "row_id", "left_anti") if "row_id" in df.columns and name != "transactions" else df for name, df in tables.items()}
+
+
 def purge(tables: dict[str, DataFrame], cutoff: str) -> dict[str, DataFrame]:
-    """Without rows booked before the cutoff, and their tags and notes; coverage is trimmed; rules and high water stay."""
-    rows = tables["transactions"].filter(F.coalesce(F.col("booking_date") >= cutoff, F.lit(True)))  # a row without a date stays
-    gone = tables["transactions"].filter(F.col("booking_date") < cutoff).select("row_id")
-    out = dict(tables, transactions=rows)
-    for name in ("tags", "notes"):
-        if name in tables:
-            out[name] = tables[name].join(gone, "row_id", "left_anti")
+    """Without rows booked before the cutoff, and what hangs on them; coverage is trimmed; rules and high water stay. A row without a date stays."""
+    out = _without(tables, tables["transactions"].filter(F.col("booking_date") < cutoff).select("row_id"))
+    out["transactions"] = tables["transactions"].filter(F.coalesce(F.col("booking_date") >= cutoff, F.lit(True)))
     if "coverage" in tables:
         out["coverage"] = trim(tables["coverage"], F.lit(cutoff).cast("date"))
     return out
 
 
+def purged_coverage(coverage: DataFrame, cutoff: str) -> DataFrame:
+    """One row: how many spans a purge drops, as they end by the cutoff, and how many it trims, as they lie across it."""
+    day = F.lit(cutoff).cast("date")
+    return coverage.agg(F.count_if(F.col("end") <= day).alias("dropped"), F.count_if((F.col("start") < day) & (F.col("end") > day)).alias("trimmed"))
+
+
 def forget(tables: dict[str, DataFrame], account_id: int) -> dict[str, DataFrame]:
-    """Without an account: rows keyed by its transactions first, then by itself."""
-    gone = tables["transactions"].filter(F.col("account_id") == account_id).select("row_id")
-    out = {}
-    for name, df in tables.items():
-        if name in ("tags", "notes"):
-            out[name] = df.join(gone, "row_id", "left_anti")
-        elif "account_id" in df.columns:
-            out[name] = df.filter(F.col("account_id") != account_id)
-        else:
-            out[name] = df
-    return out
+    """Without an account: what hangs on its rows, its rows, and every table that names the account."""
+    out = _without(tables, tables["transactions"].filter(F.col("account_id") == account_id).select("row_id"))
+    return {name: df.filter(~F.col("account_id").eqNullSafe(F.lit(account_id))) if "account_id" in df.columns else df for name, df in out.items()}
 
 
 def delete_all(tables: dict[str, DataFrame], meta: DataFrame, kept: tuple[str, ...]) -> tuple[dict[str, DataFrame], DataFrame]:

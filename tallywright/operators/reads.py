@@ -53,8 +53,18 @@ def queue(rows: DataFrame, tags: DataFrame) -> DataFrame:
 def page(rows: DataFrame, key: str, size: int, before: int | None = None) -> DataFrame:
     """Newest first by key, below the cursor; the last row tells whether this was all (one more is probed)."""
     rows = rows.filter(F.col(key) < before) if before is not None else rows
-    probe = rows.orderBy(F.desc(key)).limit(min(max(size, 1), 200) + 1)
-    return probe
+    return rows.orderBy(F.desc(key)).limit(_size(size) + 1)
+
+
+def shown(rows: DataFrame, key: str, size: int, before: int | None = None) -> DataFrame:
+    """A page without its probe row; has_more says whether there was one."""
+    place = F.row_number().over(Window.orderBy(F.desc(key)))  # over at most 201 rows
+    found = page(rows, key, size, before).withColumns({"place": place, "has_more": F.count(F.lit(1)).over(Window.partitionBy()) > _size(size)})
+    return found.filter(F.col("place") <= _size(size)).drop("place")
+
+
+def _size(asked: int) -> int:
+    return min(max(asked, 1), 200)
 
 
 def pick_balance(balances: DataFrame) -> DataFrame:

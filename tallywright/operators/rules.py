@@ -121,3 +121,40 @@ def drop_tag(rules: DataFrame, tag: str) -> DataFrame:
     """Rules without a tag; a rule that has none left goes."""
     own = F.array_remove(F.split("tags", " "), tag)
     return rules.withColumn("tags", F.array_join(own, " ")).filter("tags <> ''")
+
+
+def rename_everywhere(tags: DataFrame, rules: DataFrame, old: str, new: str, merge: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Tags and rules with a tag renamed. A name in use, on rows or in rules, asks for merge, as merging can't be undone."""
+    uses = lambda tag: not tags.filter(F.col("tag") == tag).isEmpty() or not rules.filter(F.array_contains(F.split("tags", " "), tag)).isEmpty()
+    if old == new or not uses(old):
+        raise ValueError("there is nothing to rename")
+    if merge is not True and uses(new):
+        raise ValueError("the new name is in use; renaming onto it merges the two for good and has to be asked for")
+    return rename(tags, old, new), rename_in_rules(rules, old, new)
+
+
+def judged_additions(book: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(rule_id, outcome) of rules added one by one in order of rule_id: added, duplicate (its predicates are there) or full (the book has 500).
+
+    Any number may be offered: the first of each signature are ordered by a bounded top-k.
+    """
+    signed = candidates.withColumn("s", signature())
+    held = book.select(signature().alias("s")).distinct()
+    first = signed.join(held, "s", "left_anti").groupBy("s").agg(F.min("rule_id").alias("rule_id")).select("rule_id")
+    room = RULEBOOK_CAP - book.count()
+    taken = first.orderBy("rule_id").limit(max(room, 0)).withColumn("added", F.lit(True))
+    outcome = F.when(F.col("added"), "added").when(F.col("first"), "full").otherwise("duplicate")
+    return signed.join(first.withColumn("first", F.lit(True)), "rule_id", "left").join(taken, "rule_id", "left").select("rule_id", outcome.alias("outcome"))
+
+
+def sentence() -> Column:
+    """A rule in words, all nine predicates."""
+    c = F.col
+    between = lambda lo, hi: F.concat(F.coalesce(c(lo).cast("string"), F.lit("any")), F.lit(" to "), F.coalesce(c(hi).cast("string"), F.lit("any")))
+    amount = c("amount_min_minor").isNotNull() | c("amount_max_minor").isNotNull()
+    said = F.concat_ws(
+        "; ", F.concat(F.lit("counterparty is "), "counterparty_canon"), F.concat(F.lit("text has "), "remittance_token"), F.when(c("direction") == "DBIT", "money out").when(c("direction") == "CRDT", "money in"),
+        F.when(amount, F.concat_ws(" ", F.lit("amount"), between("amount_min_minor", "amount_max_minor"), F.lit("minor"), "currency")).otherwise(F.concat(F.lit("currency is "), "currency")),
+        F.when(c("dom_min").isNotNull() | c("dom_max").isNotNull(), F.concat(F.lit("day "), between("dom_min", "dom_max"))), F.concat(F.lit("on "), "weekdays"),
+    )
+    return F.concat(said, F.lit(" -> "), "tags")

@@ -154,11 +154,16 @@ def rule_signature(L: Ledger):
     return L.rules.select("rule_id", rules.signature().alias("signature"))
 
 
-@query("rules", "SELECT rule_id FROM rules WHERE rule_id <> 2 AND rule_id <= 6")
+@query("rules", """
+    WITH c AS (SELECT c_custkey AS rule_id, 'payee ' || (c_custkey % 1200) || ' gmbh' AS party, min(c_custkey) OVER (PARTITION BY c_custkey % 1200) AS first FROM customer),
+    f AS (SELECT rule_id, row_number() OVER (ORDER BY rule_id) AS k FROM c WHERE rule_id = first AND party NOT IN (SELECT counterparty_canon FROM rules WHERE counterparty_canon IS NOT NULL AND concat(remittance_token, direction, currency, amount_min_minor, amount_max_minor, dom_min, dom_max, weekdays) = ''))
+    SELECT rule_id, CASE WHEN k IS NULL THEN 'duplicate' WHEN k <= 492 THEN 'added' ELSE 'full' END AS outcome FROM c LEFT JOIN f USING (rule_id)""")
 def rule_dedupe(L: Ledger):
-    """Candidate rules (2 and above 6, as they stand) are refused where their predicates are in the book already."""
-    book = L.rules.filter("rule_id = 2 OR rule_id > 6").withColumn("signature", rules.signature()).select("signature")
-    return L.rules.withColumn("signature", rules.signature()).join(book, "signature", "left_anti").select("rule_id")
+    """A rule offered for every customer, many alike and one as in the book; the book takes them until it is full."""
+    party = F.concat(F.lit("payee "), (F.col("c_custkey") % 1200).cast("string"), F.lit(" gmbh")).alias("counterparty_canon")
+    offered = L.table("customer").select(F.col("c_custkey").alias("rule_id"), party, F.lit("offered").alias("tags"))
+    blank = [F.lit(None).cast(t.dataType).alias(t.name) for t in L.rules.schema if t.name not in offered.columns]
+    return rules.judged_additions(L.rules, offered.select("*", *blank))
 
 
 @query("rules", "SELECT rule_id, CASE WHEN rule_id % 3 = 0 THEN ['no anchor'] WHEN rule_id % 3 = 1 THEN ['currency', 'day band'] ELSE [] END::VARCHAR[] AS problems FROM rules")
@@ -173,10 +178,12 @@ def validate_rules(L: Ledger):
     return rules.problems(spoilt).select("rule_id", "problems")
 
 
-@query("rules", "SELECT rule_id, concat_ws(' and ', 'counterparty is ' || counterparty_canon, 'text has ' || remittance_token, CASE direction WHEN 'DBIT' THEN 'money out' WHEN 'CRDT' THEN 'money in' END, 'currency is ' || currency) || ' -> ' || tags AS sentence FROM rules")
+@query("rules", """
+    SELECT rule_id, concat_ws('; ', 'counterparty is ' || counterparty_canon, 'text has ' || remittance_token, CASE direction WHEN 'DBIT' THEN 'money out' WHEN 'CRDT' THEN 'money in' END,
+        CASE WHEN coalesce(amount_min_minor, amount_max_minor) IS NULL THEN 'currency is ' || currency ELSE 'amount ' || coalesce(amount_min_minor::VARCHAR, 'any') || ' to ' || coalesce(amount_max_minor::VARCHAR, 'any') || ' minor ' || currency END,
+        CASE WHEN coalesce(dom_min, dom_max) IS NOT NULL THEN 'day ' || coalesce(dom_min::VARCHAR, 'any') || ' to ' || coalesce(dom_max::VARCHAR, 'any') END, 'on ' || weekdays) || ' -> ' || tags AS sentence FROM rules""")
 def list_rules(L: Ledger):
-    said = F.concat_ws(" and ", F.concat(F.lit("counterparty is "), "counterparty_canon"), F.concat(F.lit("text has "), "remittance_token"), F.when(F.col("direction") == "DBIT", "money out").when(F.col("direction") == "CRDT", "money in"), F.concat(F.lit("currency is "), "currency"))
-    return L.rules.select("rule_id", F.concat(said, F.lit(" -> "), "tags").alias("sentence"))
+    return L.rules.select("rule_id", rules.sentence().alias("sentence"))
 
 
 @query("transactions", "SELECT DISTINCT lower(trim(regexp_replace(counterparty, '\\s+', ' ', 'g'))) AS canon FROM transactions WHERE counterparty IS NOT NULL")
@@ -204,11 +211,29 @@ def tag_normalise(L: Ledger):
     return L.table("orders").select(key.alias("row_id"), rules.normal_tags(raw).alias("tags"))
 
 
-@query("transactions tags", f"SELECT row_id, tag FROM tags UNION SELECT row_id, 'reviewed' FROM transactions WHERE {LIVE} AND row_id <= 100")
+CALLS = """
+    c AS (SELECT row_id // 100 AS call, row_id, state NOT IN ('active', 'vanished') AS dead FROM transactions WHERE state IN ('active', 'vanished') OR row_id // 100 % 5 = 0)"""
+
+
+def _calls(L: Ledger, tag: str):
+    """All rows in calls of a hundred ids; every fifth call names superseded rows too, for which it is refused."""
+    call = F.expr("row_id div 100")
+    return L.transactions.filter(F.col("state").isin(*reads.LISTED) | (call % 5 == 0)).select(call.alias("call"), "row_id", F.lit(tag).alias("tag"))
+
+
+@query("transactions tags", f"""
+    WITH {CALLS}, held AS (SELECT row_id, tag FROM tags UNION ALL SELECT row_id, 'x' || k FROM transactions, range(32) r(k) WHERE row_id % 997 = 0),
+    bad AS (SELECT call FROM c WHERE dead OR row_id IN (SELECT row_id FROM held GROUP BY 1 HAVING count(*) >= 32))
+    SELECT row_id, tag FROM held UNION ALL SELECT row_id, 'reviewed' FROM c WHERE call NOT IN (FROM bad)""")
 def tag_batch(L: Ledger):
-    """A batch of at most 100 rows gets a tag; rows that have it already are left alone."""
-    batch = reads.listed(L.transactions).filter("row_id <= 100").select("row_id", F.lit("reviewed").alias("tag"))
-    return L.tags.unionByName(batch.join(L.tags, ["row_id", "tag"], "left_anti"))
+    """Every row is asked to be tagged; some rows have 32 tags, and a call that names one changes nothing."""
+    crowded = L.transactions.filter("row_id % 997 = 0").select("row_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.concat(F.lit("x"), k.cast("string")))).alias("tag"))
+    return annotate.tag_rows(_calls(L, "reviewed"), L.transactions, L.tags.unionByName(crowded))
+
+
+@query("transactions tags", f"""WITH {CALLS} SELECT row_id, tag FROM tags WHERE tag <> 'groceries' OR row_id NOT IN (SELECT row_id FROM c WHERE call NOT IN (SELECT call FROM c WHERE dead))""")
+def untag_batch(L: Ledger):
+    return annotate.untag_rows(_calls(L, "groceries"), L.transactions, L.tags)
 
 
 @query("tags", "SELECT DISTINCT row_id, CASE tag WHEN 'household' THEN 'groceries' ELSE tag END AS tag FROM tags")
@@ -230,8 +255,16 @@ def delete_tag_report(L: Ledger):
 @query("transactions tags", "SELECT DISTINCT coalesce(s.row_id + 1, t.row_id) AS row_id, tag FROM tags t LEFT JOIN (SELECT row_id FROM transactions WHERE state = 'superseded') s USING (row_id)")
 def annotation_migration(L: Ledger):
     """Tags of superseded rows move to the row that replaces them (here the next one), once each."""
-    moved = L.transactions.filter("state = 'superseded'").select("row_id", (F.col("row_id") + 1).alias("new_id"))
-    return L.tags.join(moved, "row_id", "left").select(F.coalesce("new_id", "row_id").alias("row_id"), "tag").distinct()
+    return annotate.migrate(L.tags, L.notes, _moved(L))[0]
+
+
+@query("transactions notes", "SELECT note_id, coalesce(s.row_id + 1, n.row_id) AS row_id FROM notes n LEFT JOIN (SELECT row_id FROM transactions WHERE state = 'superseded') s USING (row_id)")
+def note_migration(L: Ledger):
+    return annotate.migrate(L.tags, L.notes, _moved(L))[1].select("note_id", "row_id")
+
+
+def _moved(L: Ledger):
+    return L.transactions.filter("state = 'superseded'").select("row_id", (F.col("row_id") + 1).alias("new_id"))
 
 
 @query("accounts", "SELECT account_id, CASE WHEN account_id % 4 = 0 THEN 'Label ' || account_id ELSE name END AS name, CASE WHEN account_id % 6 = 0 THEN false ELSE included END AS included FROM accounts")
@@ -358,23 +391,23 @@ def proven_bound(L: Ledger):
     return first.select("account_id", F.when(F.col("first").isNotNull(), F.greatest(F.lit("1997-06-01"), "first")).alias("bound"))
 
 
-@query("accounts", "SELECT aspsp, session_id, account_id AS generation FROM (SELECT *, row_number() OVER (PARTITION BY aspsp ORDER BY account_id DESC) AS k FROM accounts WHERE included) WHERE k = 1")
+@query("accounts", """
+    SELECT aspsp, session_id, generation FROM (SELECT aspsp, session_id, account_id % 4 AS generation, row_number() OVER (PARTITION BY aspsp ORDER BY account_id % 4 DESC, account_id % 9 DESC, session_id DESC) AS k FROM accounts WHERE included) WHERE k = 1""")
 def renewable_session(L: Ledger):
-    newest = F.max_by(F.struct("session_id", "account_id"), "account_id").alias("top")
-    return L.accounts.filter("included").groupBy("aspsp").agg(newest).select("aspsp", "top.session_id", F.col("top.account_id").alias("generation"))
+    key = F.col("account_id")
+    return accounts.renewable(L.accounts.filter("included").select("aspsp", "session_id", (key % 4).alias("generation"), (key % 9).alias("authorized_at")))
 
 
 @query("accounts", """
-    SELECT aspsp, CASE WHEN n = 0 THEN 'zero' WHEN miss > 0 THEN 'missing' WHEN extra > 0 THEN 'unexpected' ELSE 'exact' END AS verdict, miss AS missing, extra AS unexpected FROM (
-        SELECT aspsp, count(*) FILTER (account_id % 9 <> 0) AS n, count(*) FILTER (account_id % 9 = 0 AND included) AS miss, count(*) FILTER (account_id % 9 <> 0 AND NOT included) AS extra FROM accounts GROUP BY aspsp)""")
+    SELECT aspsp, CASE WHEN n = 0 THEN 'zero' WHEN miss > 0 THEN 'missing' WHEN extra > 0 THEN 'unexpected' WHEN more > 0 THEN 'currency' ELSE 'exact' END AS verdict, miss AS missing, extra AS unexpected, more AS extra_currency FROM (
+        SELECT 'B' || (account_id % 60) AS aspsp, count(*) FILTER (account_id % 81 <> 0) AS n, count(*) FILTER (account_id % 81 = 0 AND included) AS miss, count(*) FILTER (account_id % 81 <> 0 AND NOT included) AS extra,
+               count(*) FILTER (account_id % 81 <> 0 AND account_id % 7 = 3) AS more FROM accounts GROUP BY 1)""")
 def verify_accounts(L: Ledger):
-    """What a bank returned against what was intended, as sets of accounts by bank."""
-    intended = L.accounts.filter("included").select("aspsp", "account_id")
-    got = L.accounts.filter("account_id % 9 <> 0").select("aspsp", "account_id")
-    both = intended.withColumn("want", F.lit(1)).join(got.withColumn("got", F.lit(1)), ["aspsp", "account_id"], "full")
-    sums = both.groupBy("aspsp").agg(F.count("got").alias("n"), F.count_if(F.expr("want = 1 AND got IS NULL")).alias("missing"), F.count_if(F.expr("got = 1 AND want IS NULL")).alias("unexpected"))
-    verdict = F.when(F.col("n") == 0, "zero").when(F.col("missing") > 0, "missing").when(F.col("unexpected") > 0, "unexpected").otherwise("exact")
-    return sums.select("aspsp", verdict.alias("verdict"), "missing", "unexpected")
+    """What banks returned against what was intended; some accounts come back in two currencies."""
+    key = F.col("account_id")
+    each = L.accounts.select(F.concat(F.lit("B"), (key % 60).cast("string")).alias("aspsp"), key.alias("number"), "currency", "included")
+    got = each.filter("number % 81 <> 0")
+    return accounts.verify(each.filter("included"), got.unionByName(got.filter("number % 7 = 3").withColumn("currency", F.lit("CHF"))))
 
 
 @query("", "SELECT user_id AS account_id, count(*) AS pages, count(*) <= 60 AND bool_or(event_id % 3 = 0) AS complete FROM events GROUP BY 1")
@@ -385,25 +418,38 @@ def page_completeness(L: Ledger):
     return pages.groupBy("account_id").agg(F.count(F.lit(1)).alias("pages")).join(whole, "account_id", "left").select("account_id", "pages", F.coalesce("complete", F.lit(False)).alias("complete"))
 
 
+@query("coverage", """SELECT count(*) FILTER ("end" <= DATE '2024-01-16') AS dropped, count(*) FILTER ("start" < DATE '2024-01-16' AND "end" > DATE '2024-01-16') AS trimmed FROM coverage""")
+def purge_coverage(L: Ledger):
+    return erase.purged_coverage(L.coverage, "2024-01-16")
+
+
 @query("transactions tags notes coverage", """
     WITH gone AS (SELECT row_id FROM transactions WHERE booking_date < '1998-01-01')
     SELECT 'transactions' AS name, (SELECT count(*) FROM transactions) AS before, (SELECT count(*) FROM transactions WHERE booking_date >= '1998-01-01') AS after
     UNION ALL SELECT 'tags', (SELECT count(*) FROM tags), (SELECT count(*) FROM tags WHERE row_id NOT IN (FROM gone))
     UNION ALL SELECT 'notes', (SELECT count(*) FROM notes), (SELECT count(*) FROM notes WHERE row_id NOT IN (FROM gone))
+    UNION ALL SELECT 'refs', (SELECT count(provider_ref) FROM transactions), (SELECT count(provider_ref) FROM transactions WHERE row_id NOT IN (FROM gone))
     UNION ALL SELECT 'coverage', (SELECT count(*) FROM coverage), (SELECT count(*) FROM coverage WHERE "end" > DATE '1998-01-01')""")
 def purge(L: Ledger):
-    tables = {"transactions": L.transactions, "tags": L.tags, "notes": L.notes, "coverage": L.coverage}
+    tables = {"transactions": L.transactions, "tags": L.tags, "notes": L.notes, "refs": _refs(L), "coverage": L.coverage}
     return erase.counts(tables, erase.purge(tables, "1998-01-01"))
 
 
-@query("transactions tags notes coverage balances accounts", """
+@query("transactions tags notes coverage balances accounts sync_state", """
     WITH gone AS (SELECT row_id FROM transactions WHERE account_id = 7)
     SELECT 'transactions' AS name, (SELECT count(*) FROM transactions) AS before, (SELECT count(*) FROM transactions WHERE account_id <> 7) AS after
     UNION ALL SELECT 'tags', (SELECT count(*) FROM tags), (SELECT count(*) FROM tags WHERE row_id NOT IN (FROM gone))
     UNION ALL SELECT 'notes', (SELECT count(*) FROM notes), (SELECT count(*) FROM notes WHERE row_id NOT IN (FROM gone))
+    UNION ALL SELECT 'refs', (SELECT count(provider_ref) FROM transactions), (SELECT count(provider_ref) FROM transactions WHERE row_id NOT IN (FROM gone))
     UNION ALL SELECT 'coverage', (SELECT count(*) FROM coverage), (SELECT count(*) FROM coverage WHERE account_id <> 7)
     UNION ALL SELECT 'balances', (SELECT count(*) FROM balances), (SELECT count(*) FROM balances WHERE account_id <> 7)
-    UNION ALL SELECT 'accounts', (SELECT count(*) FROM accounts), (SELECT count(*) FROM accounts WHERE account_id <> 7)""")
+    UNION ALL SELECT 'accounts', (SELECT count(*) FROM accounts), (SELECT count(*) FROM accounts WHERE account_id <> 7)
+    UNION ALL SELECT 'sync_state', (SELECT count(*) FROM sync_state), (SELECT count(*) FROM sync_state WHERE account_id <> 7)
+    UNION ALL SELECT 'observations', (SELECT count(*) FROM orders), (SELECT count(*) FROM orders WHERE o_custkey <> 7)""")
 def forget(L: Ledger):
-    tables = {"transactions": L.transactions, "tags": L.tags, "notes": L.notes, "coverage": L.coverage, "balances": L.balances, "accounts": L.accounts}
+    tables = {"transactions": L.transactions, "tags": L.tags, "notes": L.notes, "refs": _refs(L), "coverage": L.coverage, "balances": L.balances, "accounts": L.accounts, "sync_state": L.sync_state, "observations": _observations(L)}
     return erase.counts(tables, erase.forget(tables, 7))
+
+
+def _refs(L: Ledger):
+    return L.transactions.filter("provider_ref IS NOT NULL").select("row_id", F.col("provider_ref").alias("ref"))

@@ -44,6 +44,20 @@ def list_tags(L: Ledger):
     return aggregate.tag_usage(L.transactions, L.tags)
 
 
+@query("transactions tags", "SELECT count(DISTINCT tag) AS tags FROM tags JOIN transactions USING (row_id) WHERE state <> 'superseded'")
+def tag_total(L: Ledger):
+    return aggregate.tag_total(L.transactions, L.tags)
+
+
+@query("transactions", f"""
+    WITH g AS (SELECT 'ref-' || (row_id % 300) AS tag, upper(currency) AS currency, sum({SIGNED})::BIGINT AS total_minor, count(*) AS n FROM transactions WHERE {LIVE} AND {GOOD} GROUP BY ALL)
+    SELECT *, greatest((SELECT count(*) FROM g) - 200, 0) AS omitted FROM g ORDER BY currency, abs(total_minor) DESC, tag LIMIT 200""")
+def spend_listing(L: Ledger):
+    """Three hundred tags: more groups than a listing shows."""
+    tags = L.transactions.select("row_id", F.concat(F.lit("ref-"), (F.col("row_id") % 300).cast("string")).alias("tag"))
+    return aggregate.spend_listing(aggregate.spend_by_tag(reads.listed(L.transactions), tags))
+
+
 @query("transactions", f"SELECT row_id, {SIGNED} AS signed_minor FROM transactions")
 def signed_amount(L: Ledger):
     return L.transactions.select("row_id", money.signed(F.col("amount_minor"), F.col("direction")).alias("signed_minor"))
@@ -72,10 +86,10 @@ def money_parse(L: Ledger):
     return rows.withColumn("minor", money.to_minor(F.col("txt"), F.col("currency")))
 
 
-@query("transactions", f"SELECT row_id, account_id, booking_date, amount_minor, currency, direction FROM transactions WHERE {LIVE} AND booking_date >= '1999-01-01' AND booking_date < '2000-01-01' AND amount_minor BETWEEN 1000000 AND 30000000 AND direction = 'DBIT' ORDER BY row_id DESC LIMIT 51")
+@query("transactions", f"SELECT row_id, account_id, booking_date, amount_minor, currency, direction, count(*) OVER () > 50 AS has_more FROM transactions WHERE {LIVE} AND booking_date >= '1999-01-01' AND booking_date < '2000-01-01' AND amount_minor BETWEEN 1000000 AND 30000000 AND direction = 'DBIT' ORDER BY row_id DESC LIMIT 50")
 def list_transactions(L: Ledger):
     rows = reads.listed(L.transactions).filter("booking_date >= '1999-01-01' AND booking_date < '2000-01-01' AND amount_minor BETWEEN 1000000 AND 30000000 AND direction = 'DBIT'")
-    return reads.page(rows.select("row_id", "account_id", "booking_date", "amount_minor", "currency", "direction"), "row_id", 50)
+    return reads.shown(rows.select("row_id", "account_id", "booking_date", "amount_minor", "currency", "direction"), "row_id", 50)
 
 
 @query("transactions", f"SELECT count(*) AS listed, count(*) FILTER (booking_date >= '1999-01-01') AS in_range, count(*) FILTER (needs_review) AS in_review FROM transactions WHERE {LIVE}")
@@ -129,9 +143,9 @@ def classification_queue(L: Ledger):
     return reads.queue(L.transactions, L.tags).select("row_id", "classification", "booking_date")
 
 
-@query("transactions tags", f"SELECT row_id, classification FROM (SELECT row_id, {STATE} AS classification FROM transactions LEFT JOIN tags USING (row_id) WHERE {LIVE} AND row_id < 9000 GROUP BY row_id) WHERE classification IN ('workable', 'parked') ORDER BY row_id DESC LIMIT 101")
+@query("transactions tags", f"SELECT row_id, classification, count(*) OVER () > 100 AS has_more FROM (SELECT row_id, {STATE} AS classification FROM transactions LEFT JOIN tags USING (row_id) WHERE {LIVE} AND row_id < 9000 GROUP BY row_id) WHERE classification IN ('workable', 'parked') ORDER BY row_id DESC LIMIT 100")
 def queue_page(L: Ledger):
-    return reads.page(reads.queue(L.transactions, L.tags).select("row_id", "classification"), "row_id", 100, before=9000)
+    return reads.shown(reads.queue(L.transactions, L.tags).select("row_id", "classification"), "row_id", 100, before=9000)
 
 
 @query("balances", """

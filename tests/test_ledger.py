@@ -387,3 +387,41 @@ def test_notes_and_scope(spark):
     for note, author in (("", "operator"), ("x" * 1001, "operator"), ("x", "else")):
         with pytest.raises(ValueError):
             annotate.add_note(notes, rows.limit(1), note, author, 5)
+
+
+def test_calls_are_whole(spark):
+    rows = spark.createDataFrame([(i, "superseded" if i == 3 else "active") for i in range(1, 120)], "row_id long, state string")
+    tags = spark.createDataFrame([(1, "a")] + [(2, f"t{k}") for k in range(32)], "row_id long, tag string")
+    asked = lambda *calls: spark.createDataFrame([(c, r, t) for c, ids, ts in calls for r in ids for t in ts], "call int, row_id long, tag string")
+    calls = asked((1, [1, 4], ["a", "b"]), (2, [5, 3], ["b"]), (3, [6, 2], ["b"]), (4, range(10, 111), ["b"]), (5, [2], ["t0"]), (6, [999], ["b"]))
+    assert sorted(r.call for r in annotate.refused_calls(calls, rows, tags).collect()) == [2, 3, 4, 6]
+    after = sorted((r.row_id, r.tag) for r in annotate.tag_rows(calls, rows, tags).collect() if r.row_id != 2)
+    assert after == [(1, "a"), (1, "b"), (4, "a"), (4, "b")]
+    left = annotate.untag_rows(asked((1, [1, 2], ["a", "t1"]), (2, [2, 3], ["t2"])), rows, tags)
+    assert sorted(r.tag for r in left.collect()) == sorted(f"t{k}" for k in range(32) if k != 1)
+    notes = spark.createDataFrame([(1, 1, "n")], "note_id long, row_id long, note string")
+    moved = spark.createDataFrame([(1, 2), (7, 2)], "row_id long, new_id long")
+    new_tags, new_notes = annotate.migrate(spark.createDataFrame([(1, "t0"), (2, "t0"), (7, "x")], "row_id long, tag string"), notes, moved)
+    assert sorted(map(tuple, new_tags.collect())) == [(2, "t0"), (2, "x")] and [tuple(r) for r in new_notes.collect()] == [(1, 2, "n")]
+
+
+def test_renaming_onto_a_name_in_use_asks_for_merge(spark):
+    tags = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "row_id long, tag string")
+    book = spark.createDataFrame([(1, "a c"), (2, "c")], "rule_id int, tags string")
+    for old, new in (("a", "b"), ("a", "c"), ("a", "a"), ("zz", "y")):
+        with pytest.raises(ValueError):
+            rules.rename_everywhere(tags, book, old, new)
+    t, r = rules.rename_everywhere(tags, book, "a", "c", merge=True)
+    assert sorted(map(tuple, t.collect())) == [(1, "b"), (1, "c"), (2, "c")] and [x.tags for x in r.orderBy("rule_id").collect()] == ["c", "c"]
+
+
+def test_account_verdicts(spark):
+    want = spark.createDataFrame([("A", "1"), ("B", "1"), ("C", "1"), ("D", "1"), ("E", "1")], "aspsp string, number string")
+    got = spark.createDataFrame([("A", "1", "EUR"), ("A", "1", "EUR"), ("B", "2", "EUR"), ("B", None, "EUR"), ("C", "1", "EUR"), ("C", "1", None), ("D", "1", "EUR"), ("D", "2", "EUR")], "aspsp string, number string, currency string")
+    assert sorted((r.aspsp, r.verdict) for r in accounts.verify(want, got).collect()) == [("A", "exact"), ("B", "missing"), ("C", "currency"), ("D", "unexpected"), ("E", "zero")]
+
+
+def test_pages_say_whether_there_is_more(spark):
+    rows = spark.range(5).withColumnRenamed("id", "row_id")
+    of = lambda *a: [(r.row_id, r.has_more) for r in reads.shown(rows, "row_id", *a).collect()]
+    assert of(2) == [(4, True), (3, True)] and of(2, 2) == [(1, False), (0, False)] and of(0, 1) == [(0, False)] and of(5, 0) == []
