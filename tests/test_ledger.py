@@ -16,9 +16,9 @@ from tallywright import plans, reach
 from tallywright.functions import money, text
 from tallywright.functions.stem import stem
 from tallywright.operators import accounts, annotate, erase, fts, identity, intervals, reads, reconcile, refresh, rules, scan, trust
-from tallywright.sources import feed
+from tallywright.sources import feed, paged
 from tallywright.sources.store import Store, export
-from tallywright.streaming import windows
+from tallywright.streaming import amended, windows
 
 SF = "/root/testdata/sf0.001"
 DAY = lambda n: (datetime.date(2024, 1, 1) + datetime.timedelta(days=n)).isoformat()
@@ -425,3 +425,51 @@ def test_pages_say_whether_there_is_more(spark):
     rows = spark.range(5).withColumnRenamed("id", "row_id")
     of = lambda *a: [(r.row_id, r.has_more) for r in reads.shown(rows, "row_id", *a).collect()]
     assert of(2) == [(4, True), (3, True)] and of(2, 2) == [(1, False), (0, False)] and of(0, 1) == [(0, False)] and of(5, 0) == []
+
+
+def test_store_migrates_as_a_whole_and_compacts(spark, tmp_path):
+    path = str(tmp_path / "s")
+    old = Store(spark, path, schema_version=1)
+    old.write({"transactions": spark.range(6).select(F.col("id").alias("row_id")).repartition(4), "tags": spark.createDataFrame([(1, "a")], "row_id long, tag string")})
+    new = Store(spark, path, {"transactions": "row_id long, value_date string"})
+    assert new.migrate() == 2 and new.migrate() == 2 and new.tables() == ["tags", "transactions"]
+    assert new.read("transactions").columns == ["row_id", "value_date"] and new.read("transactions").count() == 6
+    assert old.spark.read.parquet(f"{path}/v1/transactions").columns == ["row_id"]  # the snapshot
+    with pytest.raises(ValueError):
+        old.version()
+    assert new.merge_files() == 3 and new.merge_files() == 3
+    new.compact()
+    assert new._files(f"v{new.version()}/transactions")[0] == 1 and new.read("transactions").count() == 6
+    assert sorted(p.name for p in (tmp_path / "s").iterdir() if p.name.startswith("v")) == [f"v{new.version()}"]
+    assert new.read("tags").count() == 1
+
+
+def test_paged_source_is_all_or_nothing(spark, tmp_path, monkeypatch):
+    (tmp_path / "bank_client.py").write_text(
+        "def fetch(account, date_from, key):\n"
+        "    n = int(key or 0)\n"
+        "    if account == 2 and n == 1: raise OSError('refused')\n"
+        "    last = {1: 2, 2: 2, 3: 10 ** 9, 4: 59}.get(account, 0)\n"
+        "    return '{\"n\": %d}' % n, (str(n + 1) if n < last else None)\n"
+    )
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "bank_client.py"))
+    rows = paged.read_paged(spark, "bank_client:fetch", [1, 2, 3, 4, 5], "2024-01-01").collect()
+    pages = {a: [r.page for r in rows if r.account_id == a and r.page] for a in range(1, 6)}
+    assert pages[1] == ['{"n": 0}', '{"n": 1}', '{"n": 2}'] and pages[2] == pages[3] == [] and len(pages[4]) == 60 and pages[5] == ['{"n": 0}']
+    assert sorted((r.account_id, r.error) for r in rows if r.error) == [(2, "OSError on page 2"), (3, "not ended after 60 pages")]
+
+
+def test_stream_tells_amendments_from_new_rows(spark, tmp_path):
+    schema = "fetch_idx long, account_id long, booking_date string, amount_minor long, currency string, direction string, status string, counterparty string, remittance string, provider_ref string"
+    row = lambda i, day, status, party="Shop", ref=None: (i, 1, DAY(day), 100, "EUR", "DBIT", status, party, "x", ref)
+    batches = [[row(1, 0, "PDNG"), row(2, 0, "BOOK", "Other")], [row(3, 2, "BOOK"), row(4, 0, "BOOK", "Other")], [row(5, 0, "PDNG"), row(6, 9, "BOOK"), row(7, 1, "BOOK", "Other", "r")]]
+    found = []
+    source = str(tmp_path / "in")
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = amended.changes(spark.readStream.schema(schema).parquet(source))
+        collect = lambda df, _: found.append(sorted((r.op, r.fetch_idx) for r in df.collect()))
+        stream.writeStream.foreachBatch(collect).outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    told = [f for f in found if f]
+    assert told == [[("insert", 1), ("insert", 2)], [("supersede", 3)], [("insert", 6), ("update", 7)]]
