@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright.functions import text
@@ -15,19 +15,20 @@ from tallywright.sources.ledger import Ledger
 
 
 def stored(L: Ledger) -> DataFrame:
-    """Half of the rows, as the ledger has them."""
-    rows = L.transactions.filter("row_id % 2 = 1")
-    return rows.withColumn("occurrence", F.lit(0)).withColumn("amount_minor", F.expr("amount_minor div 1000000"))
+    """The ledger, amounts made coarse so that contents repeat; repeats of a content are numbered."""
+    rows = L.transactions.withColumn("amount_minor", F.expr("amount_minor div 1000000"))
+    return rows.withColumn("occurrence", F.row_number().over(Window.partitionBy(identity.identity()).orderBy("row_id")) - 1)
 
 
 def fetched(L: Ledger) -> DataFrame:
-    """The same rows as a later fetch has them: dates moved by 0 to 4 days, some amounts, states and references changed, some rows missing, and new ones."""
+    """The same rows as a later fetch has them: dates moved by 0 to 4 days, some amounts, states and references changed; every ninth row is missing and a new one in its place."""
     key = F.col("row_id")
-    rows = L.transactions.filter("row_id % 9 <> 4").withColumn("amount_minor", F.expr("amount_minor div 1000000"))
+    rows = L.transactions.withColumn("amount_minor", F.expr("amount_minor div 1000000"))
     return rows.select(
         key.cast("int").alias("fetch_idx"), "account_id", F.date_format(F.date_add(text.strict_date(F.col("booking_date")), (key % 5).cast("int")), "yyyy-MM-dd").alias("booking_date"),
         F.when(key % 12 == 5, F.col("amount_minor") + 1).otherwise(F.col("amount_minor")).alias("amount_minor"), "currency", "direction",
-        F.when(key % 3 == 0, "BOOK").otherwise(F.col("status")).alias("status"), "counterparty", "remittance", "provider_ref",
+        F.when(key % 3 == 0, "BOOK").otherwise(F.col("status")).alias("status"), "counterparty", F.when(key % 9 == 4, F.concat(F.lit("new "), key.cast("string"))).otherwise(F.col("remittance")).alias("remittance"),
+        F.when(key % 9 != 4, F.col("provider_ref")).alias("provider_ref"),
     )
 
 
@@ -44,6 +45,27 @@ def reconcile(L: Ledger):
     return _actions(L)
 
 
+@query("transactions", """
+    WITH t AS (SELECT *, row_id % 12 AS d, CASE WHEN row_id % 3 = 0 THEN 'BOOK' ELSE status END AS now, state = 'active' AND row_id % 12 <= 7 AND row_id % 12 <> 5 AND row_id % 9 <> 4 AS paired
+               FROM transactions WHERE regexp_full_match(booking_date, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND TRY_CAST(booking_date AS DATE) IS NOT NULL)
+    SELECT account_id, 'insert' AS op, NULL::BIGINT AS row_id, row_id::INTEGER AS fetch_idx, CASE WHEN d = 5 OR row_id % 9 = 4 THEN 0 ELSE 1 END AS occurrence, CASE WHEN paired THEN 'windowed' ELSE 'inserted' END AS method,
+           CASE WHEN paired THEN round(1 - d / 8, 3) ELSE 1 END::DOUBLE AS confidence, paired AND needs_review AS needs_review, CASE WHEN paired AND needs_review THEN review_reason END AS reason FROM t WHERE NOT paired OR (status <> 'BOOK' AND now = 'BOOK')
+    UNION ALL SELECT account_id, 'supersede', row_id, NULL, NULL, 'windowed', round(1 - d / 8, 3), needs_review, CASE WHEN needs_review THEN review_reason END FROM t WHERE paired AND status <> 'BOOK' AND now = 'BOOK'
+    UNION ALL SELECT account_id, 'update', row_id, row_id::INTEGER, 0, 'windowed', round(1 - d / 8, 3), false, NULL FROM t WHERE paired AND NOT (status <> 'BOOK' AND now = 'BOOK') AND d > 0""")
+def reconcile_plain(L: Ledger):
+    """The whole ledger with contents that don't repeat and references that aren't trusted, where what is due can be said in SQL; dates move by up to 11 days."""
+    key = F.col("row_id")
+    rows = L.transactions.withColumn("remittance", F.concat(F.lit("row "), key.cast("string")))
+    moved = F.date_format(F.date_add(text.strict_date(F.col("booking_date")), (key % 12).cast("int")), "yyyy-MM-dd")
+    later = rows.select(
+        key.cast("int").alias("fetch_idx"), "account_id", moved.alias("booking_date"), F.when(key % 12 == 5, F.col("amount_minor") + 1).otherwise(F.col("amount_minor")).alias("amount_minor"), "currency", "direction",
+        F.when(key % 3 == 0, "BOOK").otherwise(F.col("status")).alias("status"), "counterparty", F.when(key % 9 == 4, F.concat(F.lit("new "), key.cast("string"))).otherwise(F.col("remittance")).alias("remittance"), "provider_ref",
+    )
+    trust = L.accounts.select("account_id", F.lit(False).alias("ref_stable"), F.lit("account").alias("ref_scope"))
+    found = rec.reconcile(rows.withColumn("occurrence", F.lit(0)), later, trust)
+    return found.select("account_id", "op", "row_id", "fetch_idx", "occurrence", "method", "confidence", "needs_review", "reason")
+
+
 @query("transactions", "SELECT row_id, booking_date FROM transactions WHERE NOT coalesce(regexp_full_match(booking_date, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND TRY_CAST(booking_date AS DATE) IS NOT NULL, false)")
 def reconcile_unsound(L: Ledger):
     """Rows that are reported instead of matched."""
