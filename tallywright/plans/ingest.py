@@ -211,9 +211,12 @@ def scan_identifiers(L: Ledger):
     return scan.scan_numbers(L.table("documents").select("doc_id", planted.alias("text")), "doc_id", "text")
 
 
-@query()
+@query("", "SELECT ['severity', 'ruling', 'decision_code', 'private_spec'][doc_id % 5] AS category, count(*) AS n FROM documents WHERE doc_id % 5 <> 0 GROUP BY 1")
 def categorize_lines(L: Ledger):
-    return scan.lines(L.table("documents"), "doc_id", "text").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    """All documents; four in five end in a line of a known category."""
+    ends = F.array(*[F.lit(t) for t in ("an ordinary line", "P0 first", "round 2 ruling", "finding E12", "\u00a78.1")])
+    planted = F.concat_ws("\n", "text", F.element_at(ends, (F.col("doc_id") % 5 + 1).cast("int")))
+    return scan.lines(L.table("documents").select("doc_id", planted.alias("text")), "doc_id", "text").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events WHERE CAST(ts AS DATE) < (SELECT CAST(max(ts) - INTERVAL 2 DAY AS DATE) FROM events) GROUP BY ALL")
