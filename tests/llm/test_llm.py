@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -470,6 +471,38 @@ def test_languages(spark, docs, none):
     assert len(langid.identify(docs, held).collect()) == len(odd_rows())
 
 
+def test_kernel_and_ridge_are_those_of_plain_sets(spark, monkeypatch):
+    """With every training row a landmark, the map is exact: kernel ridge regression over plain sets of n-grams."""
+    draw = random.Random(5)
+    rows = [(i, " ".join("".join(draw.choice(("abcdeh", "defgh")[i % 2]) for _ in range(5)) for _ in range(6)), "xy"[i % 2]) for i in range(70)]
+    rows.append((70, "Abc9 d-\n " * 3 + "dead " * 40_000, "x"))
+    texts = [f" {re.sub(r'[^a-z]+', ' ', t.lower())} " for _, t, _ in rows]
+    sets = [{t[a : a + n] for n in range(1, 5) for a in range(len(t) - n + 1)} for t in texts]
+    train = [i for i, (d, _, _) in enumerate(rows) if zlib.crc32(str(d).encode()) % 5]
+    k = np.array([[len(a & sets[j]) / (len(a) * len(sets[j])) ** 0.5 for j in train] for a in sets])
+    each = {g: sum(rows[i][2] == g for i in train) for g in "xy"}
+    goal = np.array([[1.0 if rows[i][2] == g else -1.0 for g in "xy"] for i in train])
+    alpha = np.linalg.solve(k[train] + langid.RIDGE / 2 * np.diag([each[rows[i][2]] for i in train]), goal)
+    want = k @ alpha
+    monkeypatch.setattr(langid, "SPAN", 1000)
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in langid.identify(table, part_of(F.col("doc_id"), 5) == 0).collect()}
+    for (d, _, _), f in zip(rows, want):
+        assert found[d].lang_pred == "xy"[f.argmax()] and found[d].score == pytest.approx(min(1, max(0, (f.max() + 1) / 2)), abs=1e-3)
+
+
+def test_long_texts_keep_their_language(spark):
+    """Texts of more distinct n-grams than any landmark are told by them all the same."""
+    draw = random.Random(3)
+    word = lambda letters: "".join(draw.choice(letters) for _ in range(draw.randint(3, 9)))
+    letters = {"aa": "abcdefghijklmno", "bb": "hijklmnopqrstuv"}
+    rows = [(i, " ".join(word(letters[g]) for _ in range(40)), g) for i, g in enumerate(["aa", "bb"] * 60)]
+    long = [(1000 + i, " ".join(word(letters[g]) for _ in range(60_000)), g) for i, g in enumerate(["aa", "bb"])]
+    found = langid.identify(spark.createDataFrame(rows + long, "doc_id long, text string, lang string"), F.col("doc_id") >= 1000).collect()
+    assert all(len(langid.grams(t)) > 30_000 for _, t, _ in long)
+    assert {r.doc_id: r.lang_pred for r in found if r.held_out} == {1000: "aa", 1001: "bb"}
+
+
 def test_segments_are_all_maximal():
     def plain(s):
         """By definition, recursively: the best segment, then both sides of it."""
