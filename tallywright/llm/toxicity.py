@@ -1,7 +1,9 @@
 """Toxicity by maximum-scoring segment search.
 
 A token's score is the log-odds of its rate in toxic against other texts, both smoothed by a
-Dirichlet prior in proportion to its rate in all, less a margin that makes plain text score below zero on average. One
+Dirichlet prior (FLAT a token, and more in proportion to its rate in all), brought towards 0 by SURE standard
+errors, so that a word seen in few texts has no say, less a margin that makes plain text score below zero on average.
+A text, or copies of one, counts a token once, as its repeats are no further evidence. One
 linear scan finds every maximal scoring segment of a text (Ruzzo and Tompa). In plain text the largest
 segment follows an extreme-value law: with LAMBDA from the scores' distribution, LAMBDA * S - ln n is Gumbel
 distributed for any length n. Segments that it makes unlikely are the passages; how far they exceed
@@ -25,7 +27,8 @@ from tallywright.llm.common import Scratch
 
 PER_CLASS = 8_000
 PRIOR = 2_000.0  # tokens that the prior weighs
-LEAST = 4  # times that a word has to occur in the fitted rows to have a score
+FLAT = 0.5  # tokens that the prior weighs a token, whatever its rate
+SURE = 1.64  # standard errors
 MARGIN = 1.0
 SIGNIFICANT = 0.01  # chance of such a segment in a plain text
 _MARKS = ".,;:!?\"'()[]{}<>|*#$%&-_/\\"
@@ -100,17 +103,14 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))), passages
 
 
-def log_odds(counts: list[tuple[str, int, int]]) -> dict[str, float]:
-    """From (token, times in toxic, times in other texts), less the margin."""
-    toxic, plain = sum(c[1] for c in counts), sum(c[2] for c in counts)
-    out = {}
-    for word, a, b in counts:
-        if a + b < LEAST:
-            continue
-        prior = PRIOR * (a + b) / (toxic + plain)
-        ra, rb = (a + prior) / (toxic + PRIOR), (b + prior) / (plain + PRIOR)
-        out[word] = float(np.log(ra / (1 - min(ra, 0.999))) - np.log(rb / (1 - min(rb, 0.999)))) - MARGIN
-    return out
+def log_odds(toxic: Column, plain: Column, all_toxic: int, all_plain: int, tokens: int) -> Column:
+    """Of a token that occurs in so many toxic and plain texts, out of all such counts summed; 0 if it may as well be 0."""
+    prior = F.lit(PRIOR / (all_toxic + all_plain)) * (toxic + plain) + FLAT
+    spread = PRIOR + FLAT * tokens
+    ra, rb = (F.least((n + prior) / F.lit(total + spread), F.lit(0.999)) for n, total in ((toxic, all_toxic), (plain, all_plain)))
+    odds = F.ln(ra / (1 - ra)) - F.ln(rb / (1 - rb))
+    error = F.sqrt(1 / (toxic + prior) + 1 / (plain + prior))
+    return F.signum(odds) * F.greatest(F.abs(odds) - SURE * error, F.lit(0.0))
 
 
 def karlin(values: np.ndarray, weights: np.ndarray) -> float:
@@ -142,11 +142,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         by = (Counter(), Counter())
         for text, toxic in zip(batch["text"], batch["toxic"].to_pylist()):
-            by[toxic].update((text.as_py() or "").split())
+            by[toxic].update(set(map(token, set((text.as_py() or "").split()))))
         both: dict[str, list[int]] = {}
         for k, counter in enumerate(by):
-            for chunk, n in counter.items():
-                both.setdefault(token(chunk), [0, 0])[k] += n
+            for word, n in counter.items():
+                both.setdefault(word, [0, 0])[k] = n
         both.pop("", None)
         yield pa.RecordBatch.from_arrays([pa.array(list(both), pa.string()), pa.array([v[1] for v in both.values()], pa.int64()), pa.array([v[0] for v in both.values()], pa.int64())], ["token", "toxic", "plain"])
 
@@ -170,18 +170,16 @@ def fit(rows: DataFrame, scratch: Scratch) -> Model:
     """From rows (text, toxic 0 or 1), a bounded sample."""
     spark = rows.sparkSession
     rows = scratch.save(rows, "sample")
-    table = rows.mapInArrow(_count, "token string, toxic long, plain long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
+    table = rows.dropDuplicates(["text", "toxic"]).mapInArrow(_count, "token string, toxic long, plain long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
     table = scratch.save(table, "tokens")
-    # Rare tokens have no score, but count in the totals.
-    rare = table.filter(F.col("toxic") + F.col("plain") < LEAST).agg(F.sum("toxic").alias("a"), F.sum("plain").alias("b")).first()
-    often = table.filter(F.col("toxic") + F.col("plain") >= LEAST).orderBy("token").toArrow()
-    counts = list(zip(often["token"].to_pylist(), often["toxic"].to_pylist(), often["plain"].to_pylist()))
-    known = log_odds([*counts, *[("", a, b) for a, b in [(rare.a or 0, rare.b or 0)] if a + b >= LEAST]])
-    known.pop("", None)
-    if not counts or not sum(c[1] for c in counts) or not sum(c[2] for c in counts):
+    a, b, tokens = table.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("plain"), F.lit(0)), F.count(F.lit(1))).first()
+    if not a or not b:
         return Model({})
-    values = np.array([known[c[0]] for c in counts] + [-MARGIN])
-    model = Model(known, karlin(values, np.array([c[2] for c in counts] + [rare.b or 0], np.float64)))
+    odds = log_odds(F.col("toxic"), F.col("plain"), a, b, tokens)
+    told = table.select("token", "plain", odds.alias("odds")).filter("odds <> 0").orderBy("token").toArrow()  # any other token is at -MARGIN
+    values, times = told["odds"].to_numpy() - MARGIN, told["plain"].to_numpy()
+    known = dict(zip(told["token"].to_pylist(), values.tolist()))
+    model = Model(known, karlin(np.append(values, -MARGIN), np.append(times, b - times.sum()).astype(np.float64)))
     measured = rows.mapInArrow(_measure(spark.sparkContext.broadcast(model)), "n long, toxic int, best double, found array<double>").toArrow()
     n, toxic, best = (measured[c].to_numpy() for c in ("n", "toxic", "best"))
     plain = model.scale * best[toxic == 0] - np.log(np.maximum(n[toxic == 0], 1))
