@@ -4,10 +4,11 @@ A token's score is the log-odds of its rate in toxic against other texts, both s
 Dirichlet prior (FLAT a token, and more in proportion to its rate in all), brought towards 0 by SURE standard
 errors, so that a word seen in few texts has no say, less a margin that makes plain text score below zero on average.
 A text, or copies of one, counts a token once, as its repeats are no further evidence. One
-linear scan finds every maximal scoring segment of a text (Ruzzo and Tompa). In plain text the largest
-segment follows an extreme-value law: with LAMBDA from the scores' distribution, LAMBDA * S - ln n is Gumbel
-distributed for any length n. Segments that it makes unlikely are the passages; how far they exceed
-it, at most and in sum, gives the text's score by a logistic fit.
+linear scan finds every maximal scoring segment of a text (Ruzzo and Tompa). In plain text segments above a
+score come at random, K a token, and exponentially fewer the higher they are, so that the largest of n tokens follows
+an extreme-value law: LAMBDA * S - ln(K * n) is Gumbel distributed for any n. K and LAMBDA are measured over the
+fitted plain texts, LAMBDA being at most that of the scores' distribution. Segments that the law makes unlikely are the
+passages; how far they exceed it, at most and in sum, gives the text's score by a logistic fit.
 
 Fitted on about PER_CLASS labelled training rows a class, chosen by a hash of their id.
 """
@@ -71,9 +72,9 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 class Model:
-    def __init__(self, known: dict[str, float], scale: float = 1.0, centre: float = 0.0, spread: float = 1.0, weights: tuple = (-4.0, 0.0, 0.0)):
+    def __init__(self, known: dict[str, float], scale: float = 1.0, centre: float = 0.0, weights: tuple = (-4.0, 0.0, 0.0)):
         self.key = uuid.uuid4().hex
-        self.known, self.scale, self.centre, self.spread, self.weights = known, scale, centre, spread, np.array(weights)
+        self.known, self.scale, self.centre, self.weights = known, scale, centre, np.array(weights)
         self.scores: Scores | None = None
 
     def __getstate__(self):
@@ -88,7 +89,7 @@ class Model:
 
     def excess(self, n: int, s: float) -> float:
         """Standardised Gumbel variate of a segment of score s in n tokens."""
-        return (self.scale * s - np.log(max(n, 1)) - self.centre) / self.spread
+        return self.scale * s - np.log(max(n, 1)) - self.centre
 
     def features(self, text: str | None) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
         """Constant, largest excess, log of the sum of positive excesses; and the significant segments."""
@@ -154,14 +155,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _measure(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ns, best, rest, tox = [], [], [], []
+            ns, rest, tox = [], [], []
             for text, toxic in zip(batch["text"], batch["toxic"].to_pylist()):
                 n, all_found = shared.value.found(text.as_py())
                 ns.append(n)
                 tox.append(toxic)
-                best.append(max([s for _, _, s in all_found], default=0.0))
                 rest.append([s for _, _, s in all_found])
-            yield pa.RecordBatch.from_arrays([pa.array(ns, pa.int64()), pa.array(tox, pa.int32()), pa.array(best, pa.float64()), pa.array(rest, pa.list_(pa.float64()))], ["n", "toxic", "best", "found"])
+            yield pa.RecordBatch.from_arrays([pa.array(ns, pa.int64()), pa.array(tox, pa.int32()), pa.array(rest, pa.list_(pa.float64()))], ["n", "toxic", "found"])
 
     return run
 
@@ -180,15 +180,15 @@ def fit(rows: DataFrame, scratch: Scratch) -> Model:
     values, times = told["odds"].to_numpy() - MARGIN, told["plain"].to_numpy()
     known = dict(zip(told["token"].to_pylist(), values.tolist()))
     model = Model(known, karlin(np.append(values, -MARGIN), np.append(times, b - times.sum()).astype(np.float64)))
-    measured = rows.mapInArrow(_measure(spark.sparkContext.broadcast(model)), "n long, toxic int, best double, found array<double>").toArrow()
-    n, toxic, best = (measured[c].to_numpy() for c in ("n", "toxic", "best"))
-    plain = model.scale * best[toxic == 0] - np.log(np.maximum(n[toxic == 0], 1))
-    # Gumbel by quantiles, which toxic wording that labels have missed doesn't move.
-    q25, q75 = np.quantile(plain, [0.25, 0.75])
-    model.spread = float(max(q75 - q25, 0.1) / (np.log(np.log(4)) - np.log(np.log(4 / 3))))
-    model.centre = float(q25 + model.spread * np.log(np.log(4)))
+    measured = rows.mapInArrow(_measure(spark.sparkContext.broadcast(model)), "n long, toxic int, found array<double>").toArrow()
+    n, toxic = (measured[c].to_numpy() for c in ("n", "toxic"))
+    found = measured["found"].to_pylist()
+    plain = [s for own, t in zip(found, toxic) if t == 0 for s in own]
+    # By their median, which toxic wording that labels have missed hardly moves.
+    model.scale = min(model.scale, np.log(2) / max(float(np.median(plain)), 1e-9)) if plain else model.scale
+    model.centre = float(np.log((len(plain) + 1) / (n[toxic == 0].sum() + 1)))
     x = np.ones((len(n), 3))
-    for i, own in enumerate(measured["found"].to_pylist()):
+    for i, own in enumerate(found):
         each = [model.excess(n[i], s) for s in own]
         x[i, 1:] = min(max([*each, -3.0]), 30.0), np.log1p(sum(e for e in each if e > 0))
     model.weights = logistic(x, toxic.astype(np.float64), np.ones(len(n)))

@@ -544,6 +544,53 @@ def test_toxicity(spark, docs, none):
     assert len(toxicity.rate(docs, spark.createDataFrame([], "doc_id long, toxic int"), part).collect()) == len(odd_rows())
 
 
+def test_toxicity_scores_are_those_of_the_plain_formulas(spark, monkeypatch):
+    texts, marks = [], []
+    for i in range(240):
+        r, words = random.Random(i), prose(i % 200, 50).split()  # the last 40 repeat earlier texts where plain
+        if i % 5 == 0:
+            words[10:10] = [r.choice(["vile", "scum"]), r.choice(["trash", "vile"])]
+        if i % 50 == 1:
+            words[5:5] = ["vile", "onlyhere"] * 4  # plain all the same, and a word of one text
+        texts.append(" ".join(words))
+        marks.append(int(i % 5 == 0))
+    models = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda *a: models.append(fit(*a)) or models[0])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in toxicity.rate(docs, spark.createDataFrame(list(enumerate(marks)), "doc_id long, toxic int"), part_of(F.col("doc_id"), 5) == 0).collect()}
+    train = [i for i in range(240) if not found[i].held_out]
+    count = {(w, k): 0 for i in train for w in map(toxicity.token, texts[i].split()) for k in (0, 1)}
+    for text, k in {(texts[i], marks[i]) for i in train}:
+        for w in set(map(toxicity.token, text.split())):
+            count[w, k] += 1
+    total = [sum(n for (_, k), n in count.items() if k == side) for side in (0, 1)]
+    words = {w for w, _ in count}
+    score = {}
+    for w in words:
+        prior = toxicity.PRIOR * (count[w, 0] + count[w, 1]) / sum(total) + toxicity.FLAT
+        rate = [(count[w, k] + prior) / (total[k] + toxicity.PRIOR + toxicity.FLAT * len(words)) for k in (0, 1)]
+        odds = math.log(rate[1] / (1 - rate[1])) - math.log(rate[0] / (1 - rate[0]))
+        error = math.sqrt(sum(1 / (count[w, k] + prior) for k in (0, 1)))
+        score[w] = math.copysign(max(abs(odds) - toxicity.SURE * error, 0), odds) - toxicity.MARGIN
+    (model,) = models
+    assert all(model.known.get(w, -toxicity.MARGIN) == pytest.approx(s) for w, s in score.items()) and score["onlyhere"] <= -toxicity.MARGIN < 0 < score["scum"]
+
+    def parts(i):
+        s = np.array([score.get(toxicity.token(w), -toxicity.MARGIN) for w in texts[i].split()])
+        return len(s), toxicity.segments(s)
+
+    plain = [x for i in train if not marks[i] for _, _, x in parts(i)[1]]
+    rate = (len(plain) + 1) / (sum(parts(i)[0] for i in train if not marks[i]) + 1)
+    assert plain and model.centre == pytest.approx(math.log(rate)) and model.scale <= math.log(2) / np.median(plain) + 1e-9
+    for i in range(240):
+        n, own = parts(i)
+        over = [model.scale * x - math.log(rate * n) for _, _, x in own]
+        z = model.weights @ [1, min(max([*over, -3]), 30), math.log1p(sum(e for e in over if e > 0))]
+        assert found[i].score == pytest.approx(1 / (1 + math.exp(-min(max(z, -30), 30))), abs=1e-9)
+        assert [(p.start, p.end) for p in found[i].passages] == [(a, b) for (a, b, _), e in zip(own, over) if 1 - math.exp(-math.exp(-e)) <= toxicity.SIGNIFICANT]
+
+
 def test_layout_and_names_change_nothing(spark, tmp_path):
     """Rows are numbered once: stages keep the same rows when file splits change between plan and action, and whatever columns are called."""
     names = ["doc_id", "text", "lang", "source", "row", "_row", "n", "copies", "kept", "n_words", "pool"]
