@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.functions.text import ABSENT, canon_ascii, identity_text
@@ -22,11 +22,16 @@ def identity(unicode_text: bool = True) -> Column:
     return F.sha2(material, 256)
 
 
-def corroborated(stored: str, fetched: str) -> Column:
-    """How a shared reference is borne out between rows aliased so: reference, reference_corroborated or rejected."""
+def with_party(rows: DataFrame) -> DataFrame:
+    """Rows with counterparties in canonical form: made once a row here, not once a pair."""
+    return rows.withColumn("counterparty", identity_text(F.col("counterparty")))
+
+
+def corroborated(stored: str, fetched: str, canonical: bool = False) -> Column:
+    """How a shared reference is borne out between rows aliased so: reference, reference_corroborated or rejected; canonical: both come from with_party."""
     s, f = (lambda c: F.col(f"{stored}.{c}")), (lambda c: F.col(f"{fetched}.{c}"))
     near = F.abs(F.datediff(s("d"), f("d"))) <= NEAR_DAYS
-    party = lambda x: identity_text(x("counterparty"))
+    party = lambda x: x("counterparty") if canonical else identity_text(x("counterparty"))
     same_party = F.coalesce((party(s) == party(f)) & (party(s) != ""), F.lit(False))
     return F.when(near & (s("amount_minor") == f("amount_minor")), "reference").when(near & same_party, "reference_corroborated").otherwise("rejected")
 

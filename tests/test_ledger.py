@@ -220,6 +220,32 @@ def test_text_beyond_ascii(spark):
     assert [r.op for r in reconcile.reconcile(held, fetched, trust_none).collect() if r.op == "insert"] == []
 
 
+def above_join(frame):
+    """What a query's plan does with pairs, after its first join from the top."""
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    return plan[: plan.index("Join Inner")]
+
+
+def by_oracle(spark, name, top):
+    """Rows of a query and of its SQL over parquet tables in a folder."""
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    for f in os.listdir(top):
+        con.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM read_parquet('{top}/{f}{'/*.parquet' if os.path.isdir(os.path.join(top, f)) else ''}')")
+    found, want = plans.QUERIES[name](spark, str(top)), con.sql(plans.ORACLE_SQL[name])
+    assert found.columns == want.columns
+    return sorted(tuple(map(str, r)) for r in found.collect()), sorted(tuple(map(str, r)) for r in want.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables here")
+def test_corroborate_prepares_parties_by_row(spark):
+    """Pairs grow with the square of a reference's rows: no pattern and no Python is run over them."""
+    done = above_join(plans.QUERIES["corroborate"](spark, SF))
+    assert not [w for w in ("RLIKE", "regexp_replace", "identity_canon", "lower(", "ArrowEvalPython") if w in done], done
+    found, want = by_oracle(spark, "corroborate", SF)
+    assert found == want
+
+
 def test_reads(spark):
     rows = spark.createDataFrame([(i, "active") for i in range(1, 251)], "row_id long, state string")
     seen, before = [], None
