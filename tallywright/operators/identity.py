@@ -40,8 +40,14 @@ def confidence(method: Column) -> Column:
     return F.when(method == "reference", 1.0).when(method == "reference_corroborated", 0.7).otherwise(0.0)
 
 
-def money_change(stored: str, fetched: str) -> Column:
-    """What money a match would rewrite: a sign or unit before an amount; null if nothing."""
+def with_units(rows: DataFrame) -> DataFrame:
+    """Rows with directions and currencies in canonical form: made once a row here, not once a pair."""
+    return rows.withColumns({c: canon_ascii(F.col(c)) for c in ("direction", "currency")})
+
+
+def money_change(stored: str, fetched: str, canonical: bool = False) -> Column:
+    """What money a match would rewrite: a sign or unit before an amount; null if nothing; canonical: both come from with_units."""
     s, f = (lambda c: F.col(f"{stored}.{c}")), (lambda c: F.col(f"{fetched}.{c}"))
-    moved = lambda c: ~canon_ascii(s(c)).eqNullSafe(canon_ascii(f(c)))
+    form = (lambda x: x) if canonical else canon_ascii
+    moved = lambda c: ~form(s(c)).eqNullSafe(form(f(c)))
     return F.when(moved("direction") | moved("currency"), "direction_or_currency_changed").when(s("amount_minor") != f("amount_minor"), "amount_changed")

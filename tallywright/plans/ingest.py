@@ -122,7 +122,7 @@ PAIRS = """
           FROM s a JOIN s b ON a.account_id % 10 = b.account_id % 10 AND a.provider_ref = b.provider_ref AND a.row_id < b.row_id)"""
 
 
-def _pairs(L: Ledger, prepared=lambda rows: rows) -> DataFrame:
+def _pairs(L: Ledger, prepared) -> DataFrame:
     """Rows that share a reference, each pair once. There are as many as the square of a reference's rows, so texts are prepared before the join."""
     rows = L.transactions.filter("provider_ref IS NOT NULL AND booking_date <> '2024-2-30'").withColumn("d", F.to_date("booking_date")).withColumn("amount_minor", F.expr("amount_minor div 10000000")).withColumn("k", F.col("account_id") % 10)
     rows = prepared(rows)
@@ -137,7 +137,7 @@ def corroborate(L: Ledger):
 
 @query("transactions", f"WITH {PAIRS} SELECT stored_id, fetched_id, CASE WHEN ad IS DISTINCT FROM bd OR ac IS DISTINCT FROM bc THEN 'direction_or_currency_changed' WHEN am <> bm THEN 'amount_changed' END AS change FROM p")
 def money_change(L: Ledger):
-    return _pairs(L).select(F.col("s.row_id").alias("stored_id"), F.col("f.row_id").alias("fetched_id"), identity.money_change("s", "f").alias("change"))
+    return _pairs(L, identity.with_units).select(F.col("s.row_id").alias("stored_id"), F.col("f.row_id").alias("fetched_id"), identity.money_change("s", "f", canonical=True).alias("change"))
 
 
 def _payload(L: Ledger) -> DataFrame:

@@ -246,6 +246,14 @@ def test_corroborate_prepares_parties_by_row(spark):
     assert found == want
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables here")
+def test_money_change_prepares_units_by_row(spark):
+    done = above_join(plans.QUERIES["money_change"](spark, SF))
+    assert not [w for w in ("regexp_replace", "lower(", "trim(") if w in done], done
+    found, want = by_oracle(spark, "money_change", SF)
+    assert found == want
+
+
 def test_reads(spark):
     rows = spark.createDataFrame([(i, "active") for i in range(1, 251)], "row_id long, state string")
     seen, before = [], None
