@@ -99,10 +99,11 @@ def test_merge_drops_no_span(spark):
 
 
 def odd_tables(top):
-    """Events without stamp, id or user, of users that are no accounts, and with negative ids; accounts that stand twice or have no key."""
+    """Events without stamp, id or user, of users that are no accounts, and with negative ids; accounts that stand twice or have no key. No known spans are equal, as the SQL leaves the order of such open."""
     con = duckdb.connect()
     con.execute(f"""COPY (SELECT CASE WHEN i % 11 = 3 THEN NULL ELSE i * 3 END AS event_id, CASE WHEN i % 7 = 2 OR u = 5 THEN NULL ELSE TIMESTAMP '2023-12-20 01:00:00' + to_days(i * 5 % 53) END AS ts,
-        CASE WHEN u <> 6 THEN u END AS user_id FROM (SELECT i::BIGINT AS i, (i * i % 13 + i % 2 * 40)::BIGINT AS u FROM range(200) r(i)) UNION ALL SELECT -5, TIMESTAMP '2024-01-09 00:00:00', 7) TO '{top}/events.parquet' (FORMAT parquet)""")
+        CASE WHEN u <> 6 THEN u END AS user_id FROM (SELECT i::BIGINT AS i, (i * i % 13 + i % 2 * 40)::BIGINT AS u FROM range(200) r(i))
+        QUALIFY ts IS NULL OR event_id IS NULL OR row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) = 1 UNION ALL SELECT -5, TIMESTAMP '2024-01-09 00:00:00', 7) TO '{top}/events.parquet' (FORMAT parquet)""")
     con.execute(f"""COPY (SELECT k AS c_custkey, 'n' AS c_name, 'BUILDING' AS c_mktsegment, 1 AS c_nationkey FROM (SELECT i AS k FROM range(15) r(i) UNION ALL SELECT 3 UNION ALL SELECT 9 UNION ALL SELECT 9 UNION ALL SELECT NULL UNION ALL SELECT NULL))
         TO '{top}/customer.parquet' (FORMAT parquet)""")
 
