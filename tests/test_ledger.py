@@ -131,7 +131,7 @@ def runs_of(days):
     return [(d, next(e for e in itertools.count(d) if e not in days)) for d in sorted(days) if d - 1 not in days]
 
 
-@pytest.mark.parametrize("name", ["coverage_inner_holes", "coverage_holes"])
+@pytest.mark.parametrize("name", ["coverage_inner_holes", "coverage_holes", "coverage_merge"])
 def test_coverage_of_equal_spans(spark, tmp_path, name):
     """By brute force, as the SQL leaves the order of equal spans open and its runs differ from each other. One sort serves both windows of the merge."""
     covered = equal_spans(tmp_path)
